@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeingraph.llm import byte_bpe, language_id, line_crf
+from skeingraph.llm import byte_bpe, chosen_path, decontaminate, language_id, line_crf
+from skeingraph.llm.shingles import shingles_sql
 
 #: The vocabulary that the queries encode with, looked up by name among the installed public ones.
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -15,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.join(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,6 +40,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.verdicts(docs, line_crf.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op6_byte_bpe, op7_language_id, op10_quality_rules)}
-
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_ngram_jaccard_join, op6_byte_bpe, op7_language_id, op10_quality_rules)}
+
+SQL = {
+    "op1_decontaminate": f"""
+WITH d AS ({shingles_sql("documents", "doc_id")}), b AS ({shingles_sql("benchmark", "item_id")}),
+size AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY 1),
+hit AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
+FROM hit JOIN size USING (item_id) WHERE n_shared >= 0.8 * n_item""",
+    "op5_ngram_jaccard_join": f"""
+WITH RECURSIVE d AS ({shingles_sql("documents", "doc_id")}),
+keyed AS (SELECT doc_id, md5(string_agg(s, '|' ORDER BY s)) AS k, count(*) AS n FROM d GROUP BY 1),
+sets AS (SELECT k, min(doc_id) AS rep, count(*) AS copies, min(n) AS n FROM keyed GROUP BY 1),
+own AS (SELECT rep, s FROM sets JOIN d ON doc_id = rep),
+both_have AS (SELECT x.rep AS a, y.rep AS b, count(*) AS c FROM own x JOIN own y USING (s) WHERE x.rep <> y.rep GROUP BY ALL),
+link AS (SELECT a, b FROM both_have JOIN sets x ON x.rep = a JOIN sets y ON y.rep = b WHERE c >= 0.8 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT rep, rep FROM sets UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+class AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY 1),
+degree AS (SELECT a AS rep, count(*) AS n_links FROM link GROUP BY 1)
+SELECT doc_id, coalesce(rep, doc_id) AS copy_id, coalesce(copies, 1) AS n_copies, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links
+FROM documents LEFT JOIN keyed USING (doc_id) LEFT JOIN sets USING (k) LEFT JOIN class USING (rep) LEFT JOIN degree USING (rep)""",
+}
