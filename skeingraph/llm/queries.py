@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeingraph.llm import byte_bpe, chosen_path, decontaminate, language_id, line_crf
+from skeingraph.llm import byte_bpe, chat, chosen_path, decontaminate, hash_ring, html_text, language_id, line_crf, quality_rff, url_filter
 from skeingraph.llm.shingles import shingles_sql
 
 #: The vocabulary that the queries encode with, looked up by name among the installed public ones.
@@ -20,6 +20,23 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_rff.score(docs, quality_rff.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], rows.schema)
+    messages = chat.linear(rows.unionAll(extra))
+    return chat.read_back(chat.formatted(chat.branches(messages, best=1), messages))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.join(table(spark, sf_dir, "documents"))
 
@@ -35,12 +52,27 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs)).select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.fit(pages))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_ring.shard(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_crf.verdicts(docs, line_crf.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_ngram_jaccard_join, op6_byte_bpe, op7_language_id, op10_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op2_quality_classifier, op3_html_extraction, op4_chat_formatting, op5_ngram_jaccard_join,
+        op6_byte_bpe, op7_language_id, op8_url_filters, op9_sharding, op10_quality_rules,
+    )
+}
 
 SQL = {
     "op1_decontaminate": f"""
@@ -49,6 +81,17 @@ size AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY 1),
 hit AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY ALL)
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
 FROM hit JOIN size USING (item_id) WHERE n_shared >= 0.8 * n_item""",
+    "op4_chat_formatting": """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[INST]', '&#91;INST]'), '[/INST]', '&#91;/INST]') AS esc FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(7 + length(role) + 2 + length(esc) + 8)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""",
     "op5_ngram_jaccard_join": f"""
 WITH RECURSIVE d AS ({shingles_sql("documents", "doc_id")}),
 keyed AS (SELECT doc_id, md5(string_agg(s, '|' ORDER BY s)) AS k, count(*) AS n FROM d GROUP BY 1),
