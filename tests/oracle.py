@@ -38,6 +38,7 @@ def spark_rows(df):
 def compare(df, sql: str, sf_dir: str) -> int:
     (c1, r1), (c2, r2) = spark_rows(df), sql_rows(sql, sf_dir)
     assert c1 == c2, (c1, c2)
-    diff = [x for x in r1 if x not in set(r2)][:5], [x for x in r2 if x not in set(r1)][:5]
-    assert r1 == r2, (len(r1), len(r2), *diff)
+    if r1 != r2:
+        s1, s2 = set(r1), set(r2)
+        raise AssertionError((len(r1), len(r2), [x for x in r1 if x not in s2][:5], [x for x in r2 if x not in s1][:5]))
     return len(r1)
