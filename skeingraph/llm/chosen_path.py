@@ -4,9 +4,12 @@ Every document is the set of its word shingles. A MinHash signature stands for a
 set's tokens; a node of the search tree draws a few of the signature's places and splits its sets
 by the tokens there, so two sets stay together with a probability that their similarity gives.
 Runs start from different places; together the roots reach the target recall. Sets that are alone
-leave at once; buckets up to `LIMIT` sets are compared by brute force on the whole shingle sets;
-larger ones split again, unless a child is hardly smaller than its parent: those sets are alike, and
-are compared by brute force too, in pairs of blocks spread over tasks. All similarities are exact.
+leave at once; buckets up to `LIMIT` sets are compared by brute force; larger ones split again,
+unless a child is hardly smaller than its parent: those sets are alike, and are compared by brute
+force too. Brute force goes in pairs of blocks of bounded size, spread over tasks, and in two steps:
+sets without a partner whose signature agrees in `AGREE` places leave (a pair at the threshold fails
+this in less than one case in a million), the others are compared on their whole shingle sets. All
+similarities are exact.
 
 Copies (equal shingle sets) are joined as one set. Links are never written out pair by pair: each
 set carries the ids of its leaves, so that a pair counts only in the first leaf that it shares, and
@@ -21,6 +24,9 @@ are a value like any other; empty tables give empty tables; only the named colum
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -33,8 +39,13 @@ from skeingraph.runtime import columns_of, map_columns, ship, stored
 
 THRESHOLD = 0.8
 RUNS, FANOUT, PLACES = 4, 2, 24
-LIMIT = BLOCK = 256
+LIMIT = 1024
+#: A block has about so many sets, or shingles, at most.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 DEPTH = 6
+AGREE = 9
+#: Ids up to this number are broadcast (some 10 MB); more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 #: A child with more than this share of its parent's sets ends the recursion.
 ALIKE = 0.7
 SEED = 5
@@ -95,50 +106,74 @@ def leaves(sets: DataFrame) -> DataFrame:
     return joined
 
 
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """How many elements each two sets have in common, by products of 0/1 matrices over the
-    elements that two sets or more have, some thousands of them at a time."""
-    n = len(sets)
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of left has in common with each of right, by products of 0/1
+    matrices over the elements that two sets or more have, some thousands of them at a time."""
+    n, sets = len(left), left if left is right else left + right
+    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     common = counts > 1
     column = np.cumsum(common) - 1
     use = common[inverse]
     column, owner = column[inverse[use]], owner[use]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    total = np.zeros((n, n), np.float32)
+    total = np.zeros((n, len(right)), np.float32)
     width = 4096
     for lo in range(0, int(common.sum()), width):
         a, b = np.searchsorted(column, (lo, lo + width))
-        m = np.zeros((n, width), np.float32)
+        m = np.zeros((len(sets), width), np.float32)
         m[owner[a:b], column[a:b] - lo] = 1
-        total += m @ m.T
+        total += m[:n] @ (m if left is right else m[n:]).T
     return total
 
 
+def sides(group: list[dict]) -> tuple[list[dict], list[dict]]:
+    """The two blocks of a task, each set once; the same list twice if it is one block."""
+    seen: set[str] = set()
+    rows = sorted((r for r in group if not (r["set_id"] in seen or seen.add(r["set_id"]))), key=lambda r: r["set_id"])
+    if group[0]["left"] == group[0]["right"]:
+        return rows, rows
+    return [r for r in rows if r["block"] == r["left"]], [r for r in rows if r["block"] == r["right"]]
+
+
+def screen(group: list[dict]) -> list[tuple[int, str]]:
+    """(node, set_id) of the sets that agree with another one in enough places of the signature."""
+    left, right = sides(group)
+    if not left or not right or len(left) + len(right) < 3 - (left is not right):
+        return []
+    x, y = (np.array([r["sig"] for r in side], np.int64) for side in (left, right))
+    same = np.zeros((len(x), len(y)), np.int8)
+    for p in range(PLACES):
+        same += x[:, p, None] == y[None, :, p]
+    near = same >= AGREE
+    if left is right:
+        np.fill_diagonal(near, False)
+        return [(r["node"], r["set_id"]) for r, hit in zip(left, near.any(axis=1), strict=True) if hit]
+    return [(r["node"], r["set_id"]) for side, axis in ((left, 1), (right, 0)) for r, hit in zip(side, near.any(axis=axis), strict=True) if hit]
+
+
 def compare(group: list[dict], threshold: float) -> list[tuple[str, int, str]]:
     """(set_id, links counted here, a set of its component here) for the sets of one task that link."""
-    seen: set[str] = set()
-    group = [r for r in group if not (r["set_id"] in seen or seen.add(r["set_id"]))]
-    if len(group) < 2:
+    left, right = sides(group)
+    if not left or not right:
         return []
-    group.sort(key=lambda r: r["set_id"])
-    node, cross = group[0]["node"], group[0]["left"] != group[0]["right"]
-    n = np.array([len(r["shingles"]) for r in group], np.float64)
-    common = intersections([r["shingles"] for r in group]).astype(np.float64)
-    near = common >= threshold * (n[:, None] + n[None, :] - common) - 1e-9
-    np.fill_diagonal(near, False)
-    if cross:
-        block = np.array([r["block"] for r in group])
-        near &= block[:, None] != block[None, :]
+    node = group[0]["node"]
+    n, m = (np.array([len(r["shingles"]) for r in side], np.float64) for side in (left, right))
+    shingles = [r["shingles"] for r in left]
+    common = intersections(shingles, shingles if left is right else [r["shingles"] for r in right]).astype(np.float64)
+    near = common >= threshold * (n[:, None] + m[None, :] - common) - 1e-9
+    if left is right:
+        np.fill_diagonal(near, False)
     if not near.any():
         return []
-    earlier = [np.array([x for x in r["nodes"] if x < node], np.int64) for r in group]
-    counted = near & (intersections(earlier) == 0) if sum(map(len, earlier)) else near
-    links = counted.sum(axis=1)
-    buddy = list(range(len(group)))  # the smallest set that it reaches here
+    before = [np.array([x for x in r["nodes"] if x < node], np.int64) for r in left]
+    after = before if left is right else [np.array([x for x in r["nodes"] if x < node], np.int64) for r in right]
+    counted = near & (intersections(before, after) == 0)
+    rows = left if left is right else left + right
+    links = counted.sum(axis=1) if left is right else np.concatenate([counted.sum(axis=1), counted.sum(axis=0)])
+    linked = near.any(axis=1) if left is right else np.concatenate([near.any(axis=1), near.any(axis=0)])
+    buddy = list(range(len(rows)))
 
     def root(i: int) -> int:
         while buddy[i] != i:
@@ -146,78 +181,108 @@ def compare(group: list[dict], threshold: float) -> list[tuple[str, int, str]]:
             i = buddy[i]
         return i
 
-    for i, j in zip(*np.nonzero(np.triu(near)), strict=True):
-        a, b = root(int(i)), root(int(j))
-        buddy[max(a, b)] = min(a, b)
-    return [(r["set_id"], int(links[i]), group[root(i)]["set_id"]) for i, r in enumerate(group) if near[i].any()]
+    shift = 0 if left is right else len(left)
+    for i, j in zip(*np.nonzero(near), strict=True):
+        a, b = root(int(i)), root(int(j) + shift)
+        if a != b:
+            buddy[max(a, b)] = min(a, b)
+    return [(r["set_id"], int(links[i]), rows[root(i)]["set_id"]) for i, r in enumerate(rows) if linked[i]]
+
+
+def blocks(size: int, shingles: int) -> int:
+    """How many blocks a bucket is split into."""
+    return max(1, -(-size // BLOCK), -(-shingles // BLOCK_SHINGLES))
+
+
+def spread(key: str, n: int) -> list[tuple[int, int, int]]:
+    """(left, right, own block) of the tasks that a set takes part in, if its bucket has n blocks."""
+    own = int(key[:12], 16) % n
+    return [(min(own, other), max(own, other), own) for other in range(n)]
+
+
+def by_task(rows: DataFrame, schema: T.StructType, work: Callable[[list[dict]], list[tuple]]) -> DataFrame:
+    """work() on the rows of each (node, left, right), which come together by a shuffle and a sort;
+    a task holds the rows of two blocks at a time."""
+    ship(rows.sparkSession)
+    keys = ["node", "left", "right"]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+
+        def packed(out: list[tuple]):
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(arrow), arrow, strict=True)], schema=arrow)
+
+        def read() -> Iterator[dict]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    for r in batch.slice(lo, 256).to_pylist():
+                        if "shingles" in r:
+                            r["shingles"] = np.frombuffer(r["shingles"], np.uint64)
+                        yield r
+
+        out: list[tuple] = []
+        for _, group in groupby(read(), key=itemgetter(*keys)):
+            out += work(list(group))
+            if len(out) > 10_000:
+                yield packed(out)
+                out = []
+        yield packed(out)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """With a hint to broadcast, if a count shows that the (stored) ids are few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+TASK = (("node", T.LongType()), ("left", T.LongType()), ("right", T.LongType()), ("block", T.LongType()), ("set_id", T.StringType()))
 
 
 def linked(docs: DataFrame, sets: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """(set_id, n_links, buddy) partial results; shingles are made anew for the sets in buckets only."""
-    nodes = leaves(sets).groupBy("set_id").agg(F.collect_set(F.struct("node", "size")).alias("nodes"))
-    active = nodes.join(sets.select("set_id", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th")), "set_id")
+    """(set_id, n_links, buddy) partial results; shingles are made anew for the sets that pass the screen only."""
+    first = leaves(sets).join(sets.select("set_id", "sig"), "set_id").select("node", "size", "set_id", "sig")
+
+    def dealt():
+        def run(nodes, sizes, set_ids, sigs):
+            out = [(node, *task, key, sig) for node, size, key, sig in zip(nodes, sizes, set_ids, sigs, strict=True) for task in spread(key, blocks(size, 0))]
+            return tuple(map(list, zip(*out, strict=True))) if out else ([],) * 6
+
+        return run
+
+    tasks = map_columns(first, T.StructType([*(T.StructField(*x) for x in TASK), T.StructField("sig", T.ArrayType(T.LongType()))]), dealt)
+    passed = stored(by_task(tasks, T.StructType([T.StructField("node", T.LongType()), T.StructField("set_id", T.StringType())]), screen).distinct())
+    sizes = passed.join(sets.select("set_id", "n"), "set_id").groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+    nodes = passed.join(sizes, "node").groupBy("set_id").agg(F.collect_list(F.struct("node", "size", "total")).alias("nodes"))
+    active = stored(nodes.join(sets.select("set_id", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th")), "set_id"))
     texts = columns_of(docs, id_col, text_col).toDF("id", "text")
-    texts = texts.join(active, texts["id"].eqNullSafe(active["rep_id"]) & (F.xxhash64("text") == active["rep_th"])).select("set_id", "nodes", "text")
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("left", T.LongType()), T.StructField("right", T.LongType()), T.StructField("block", T.LongType()), T.StructField("set_id", T.StringType()), T.StructField("nodes", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType())])
+    ids = active.select("rep_id", "rep_th")
+    texts = texts.join(few(ids), F.col("id").eqNullSafe(F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_th")), "left_semi")
+    texts = texts.join(active, F.col("id").eqNullSafe(F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_th"))).select("set_id", "nodes", "text")
 
-    def spread():
+    def sent():
         def run(set_ids, node_lists, texts):
             out = []
             for key, nodes, text in zip(set_ids, node_lists, texts, strict=True):
                 data, ids = np.unique(shingle_hashes(words_of(text))).tobytes(), sorted(x["node"] for x in nodes)
-                for x in nodes:
-                    n = -(-x["size"] // BLOCK)
-                    own = int(key[:12], 16) % n
-                    out.extend((x["node"], min(own, other), max(own, other), own, key, ids, data) for other in range(n))
-            return tuple(map(list, zip(*out, strict=True))) if out else ([], [], [], [], [], [], [])
+                out.extend((x["node"], *task, key, ids, data) for x in nodes for task in spread(key, blocks(x["size"], x["total"])))
+            return tuple(map(list, zip(*out, strict=True))) if out else ([],) * 7
 
         return run
 
-    rows = map_columns(texts, schema, spread, rows=64).repartition("node", "left", "right").sortWithinPartitions("node", "left", "right")
+    tasks = map_columns(texts, T.StructType([*(T.StructField(*x) for x in TASK), T.StructField("nodes", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType())]), sent, rows=16)
     result = T.StructType([T.StructField("set_id", T.StringType()), T.StructField("n_links", T.LongType()), T.StructField("buddy", T.StringType())])
-    ship(docs.sparkSession)
-
-    def run(batches):
-        import pyarrow as pa
-
-        def rows_of():
-            for batch in batches:
-                columns = [c for c in batch.columns]
-                names = batch.schema.names
-                for i in range(batch.num_rows):
-                    r = {k: c[i].as_py() for k, c in zip(names, columns, strict=True)}
-                    r["shingles"] = np.frombuffer(r["shingles"], np.uint64)
-                    yield r
-
-        def groups():
-            group: list[dict] = []
-            for r in rows_of():
-                if group and any(group[0][k] != r[k] for k in ("node", "left", "right")):
-                    yield group
-                    group = []
-                group.append(r)
-            if group:
-                yield group
-
-        out: list[tuple] = []
-        empty = True
-        for g in groups():
-            out.extend(compare(g, threshold))
-            if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=result.names)
-                out, empty = [], False
-        if out or empty:
-            columns = list(zip(*out, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], names=result.names)
-
-    return rows.mapInArrow(run, result)
+    return by_task(tasks, result, lambda group: compare(group, threshold))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The sketch's rows, and (set_id, rep, copies, n_links, first) of every shingle set: rep is the
     smallest (id, text hash) of the set, first that of all sets linked with it, directly or not."""
     rows = stored(sketch(docs, id_col, text_col))
-    sets = stored(rows.where("n > 0").groupBy("set_id").agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
+    sets = stored(rows.where("n > 0").groupBy("set_id").agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     links = stored(linked(docs, sets, threshold, id_col, text_col))
     counts = links.groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
     roots = components(links.select(F.col("set_id").alias("a"), F.col("buddy").alias("b")))
@@ -225,7 +290,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     first = whole.join(sets.select(F.col("set_id").alias("node"), "rep"), "node")
     low = first.groupBy("root").agg(F.min("rep").alias("first"))
     first = whole.join(low, "root").select(F.col("node").alias("set_id"), "first")
-    out = sets.drop("sig").join(counts, "set_id", "left").join(first, "set_id", "left")
+    out = sets.drop("sig", "n").join(counts, "set_id", "left").join(first, "set_id", "left")
     return rows, out.select("set_id", "rep", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("first", "rep").alias("first"))
 
 
@@ -247,8 +312,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     Repeated rows (the same id and text) count as one."""
     rows, sets = classes(docs, threshold, id_col, text_col)
     joined = rows.where("n > 0").select("id", "th", "set_id").join(sets.select("set_id", "first"), "set_id")
-    gone = joined.where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")))).select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
-    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs[text_col]) == gone["gone_th"]), "left_anti")
+    gone = stored(joined.where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")))).select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th")).distinct())
+    kept = docs.join(few(gone), docs[id_col].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs[text_col]) == gone["gone_th"]), "left_anti")
     again = rows.where("n > 0").groupBy("id", "th").count().where("count > 1")
     if again.join(gone, again["id"].eqNullSafe(gone["gone_id"]) & (again["th"] == gone["gone_th"]), "left_anti").isEmpty():
         return kept
