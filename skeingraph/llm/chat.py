@@ -71,7 +71,8 @@ def ancestors(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     done, hops, rounds = [level.where("up IS NULL").drop("up")], [], 0
     level = stored(level.where("up IS NOT NULL"))
     finished = stored(done[0])
-    while not level.isEmpty() and rounds < 64:
+    enough = finished.count().bit_length() + level.count().bit_length() + 1  # what is left after so many doublings runs in a cycle
+    while not level.isEmpty() and rounds < enough:
         hops.append(level.select("k", "id", "up"))
         above = level.select("k", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
         ends = finished.select("k", F.col("id").alias("up"), F.lit(None).cast(level.schema["up"].dataType).alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))

@@ -13,6 +13,7 @@ no weight; repeated rows give repeated results; only the named columns are read.
 
 from __future__ import annotations
 
+import operator
 import re
 
 import numpy as np
@@ -27,7 +28,7 @@ from skeingraph.runtime import columns_of, keep_rows, map_columns
 find_words = re.compile(r"[^\x20\x09-\x0D]+").findall
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-FEATURES = 14
+FEATURES = 15
 
 
 def words_of(text: str) -> list[str]:
@@ -71,7 +72,8 @@ def base_counts(text: str) -> tuple[int, int, int, int, int, bool]:
 
 
 def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """A row of features for each line that has a word, and the lines' lengths without line breaks."""
+    """A row of features for each line that has a word, and the lines' lengths without line breaks.
+    A line of more words says more: its row is multiplied by the root of their number (within bounds)."""
     if not text:
         return np.zeros((0, FEATURES)), np.zeros(0)
     lines = text.split("\n")
@@ -80,7 +82,9 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     starts = np.concatenate([[0], np.cumsum(length[:-1] + 1)])
     at = np.minimum(starts, len(classes) - 1)
     total = [np.add.reduceat((classes & m != 0).astype(np.int32), at) for m in (LETTER, UPPER, DIGIT, SYMBOL, BANG, PIPE, STOP)]
-    words = np.array([len(x.split()) for x in lines])
+    split = [x.split() for x in lines]
+    words = np.array(list(map(len, split)))
+    twice = np.array([sum(map(operator.eq, x, x[1:])) for x in split], float)
     keep = np.flatnonzero((words > 0) & (length > 0))
     first: set[str] = set()
     again = np.array([x in first or first.add(x) is not None for x in lines], float)
@@ -89,10 +93,11 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     ends = np.array([lines[i].rstrip()[-1:] in ".?!\"'»”)" for i in keep.tolist()], float)
     licence = np.array([bool(re.search(r"(?i)licen[cs]ed? under|copyright|all rights reserved|cookie|https?://", lines[i])) for i in keep.tolist()], float)
     per = 1 / np.maximum(size, 1)
-    return np.column_stack([
+    rows = np.column_stack([
         np.ones(len(keep)), np.minimum(symbols * per * 10, 3), (symbols / n > 0.5), np.minimum(bangs * per * 10, 3), (bangs / n > 0.5), upper / np.maximum(letters, 1), (pipes / n > 0.2), digits * per,
-        np.minimum(stops / n * 4, 2), ends, np.log1p(n) / 4, n < 4, again[keep], licence,
-    ]).astype(float), size
+        np.minimum(stops / n * 4, 2), ends, np.log1p(n) / 4, n < 4, again[keep], licence, twice[keep] / n,
+    ]).astype(float)
+    return rows * np.clip(np.sqrt(n / 12), 0.7, 3)[:, None], size
 
 
 def forward_backward(scores: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -110,7 +115,7 @@ def forward_backward(scores: np.ndarray, move: np.ndarray) -> tuple[np.ndarray,
     return np.exp(a + b - z), pairs, z
 
 
-def fit_weights(sample: list[tuple[str, int]], rounds: int = 40, rate: float = 0.5, l2: float = 1e-3) -> dict | None:
+def fit_weights(sample: list[tuple[str, int]], rounds: int = 50, rate: float = 0.5, l2: float = 1e-3) -> dict | None:
     """Weights of the content label against boilerplate, and of transitions, by gradient ascent
     with a step for each weight (Adagrad). None if a class is missing."""
     rows = [(line_features(t)[0], q) for t, q in sample]
@@ -153,7 +158,9 @@ def content_share(text: str, model: dict | None) -> float:
     x, size = line_features(text)
     if not len(x) or model is None:
         return 1.0
-    labels = viterbi(np.column_stack([np.zeros(len(x)), x @ model["w"]]), model["move"])
+    scores = np.column_stack([np.zeros(len(x)), x @ model["w"]])
+    scores[0, 1] += model.get("prior", 0.0)
+    labels = viterbi(scores, model["move"])
     return float(size @ np.array(labels, float) / size.sum())
 
 
@@ -167,7 +174,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 300, max_chars: int
     drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 24)) / F.lit(float(1 << 24)) < share[F.col("q")])
     texts = columns_of(docs, id_col, text_col).toDF("id", "text").where(F.length("text") <= max_chars)
     rows = texts.join(F.broadcast(drawn), "id").select("id", "q", "text").collect()  # bounded by per_class and max_chars
-    return fit_weights([(r["text"], r["q"]) for r in sorted(rows, key=lambda r: (r["id"], r["text"]))])
+    model = fit_weights([(r["text"], r["q"]) for r in sorted(rows, key=lambda r: (r["id"], r["text"]))])
+    # The sample has as many of either class; a sequence begins with the odds that the labels have.
+    return model and model | {"prior": float(np.clip(np.log(n[1] / n[0]), -3, 3))}
 
 
 SCHEMA = (("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("base_failed", T.BooleanType()), ("kept", T.BooleanType()), ("content_share", T.DoubleType()))
