@@ -87,7 +87,7 @@ def edges_for_node(edges: DataFrame, node_id: str, direction: str = "both", rel_
 def with_ends(edges: DataFrame, nodes: DataFrame, columns: tuple[str, ...] = SUMMARY) -> DataFrame:
     """A few edges with src and dst as structs of node columns; of a missing node only its id is set."""
     ids = edges.select(F.explode(F.array("src_id", "dst_id")).alias("node_id")).distinct()
-    known = nodes.select(*columns).join(F.broadcast(ids), "node_id", "left_semi")
+    known = stored(nodes.select(*columns).join(F.broadcast(ids), "node_id", "left_semi"))  # as few rows as ids: the nodes are scanned once
     out = edges
     for end in ("src", "dst"):
         one = known.select(F.col("node_id").alias(f"__{end}"), F.struct(*columns).alias(f"{end}_node"))
@@ -96,9 +96,9 @@ def with_ends(edges: DataFrame, nodes: DataFrame, columns: tuple[str, ...] = SUM
     return out
 
 
-def facts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges as facts: both ends in short, confidence, the first two pieces of evidence."""
-    return with_ends(edges, nodes).select("edge_id", "rel_type", "src", "dst", "confidence", F.slice("evidence", 1, 2).alias("evidence"))
+def facts(ends: DataFrame) -> DataFrame:
+    """Edges with_ends() as facts: both ends in short, confidence, the first two pieces of evidence."""
+    return ends.select("edge_id", "rel_type", "src", "dst", "confidence", F.slice("evidence", 1, 2).alias("evidence"))
 
 
 def file_plan(target_id: str, target: DataFrame, found: DataFrame, limit: int) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Row
 
 from skeingraph.operators import graph
+from skeingraph.runtime import stored
 
 CANDIDATES, FACTS, FILES = 10, 40, 10
 IMPACT = ("CALLS", "IMPORTS", "INHERITS")
@@ -43,7 +44,7 @@ def ask(nodes: DataFrame, edges: DataFrame, command: str, query: str, fact_limit
         return Answer(found)
     direction, types = SHAPES[command]
     target = found.rows[0]["node_id"]
-    hit = graph.edges_for_node(edges, target, direction, list(types), fact_limit + 1)
-    shown = hit.orderBy("rel_type", "edge_id").limit(fact_limit)
-    own = nodes.where(nodes["node_id"] == target)
-    return Answer(found, graph.facts(hit, nodes), graph.file_plan(target, own, graph.with_ends(shown, nodes), file_limit + 1))
+    hit = stored(graph.edges_for_node(edges, target, direction, list(types), fact_limit + 1))
+    ends = stored(graph.with_ends(hit, nodes))
+    own = nodes.sparkSession.createDataFrame([(target, found.rows[0]["file_path"])], "node_id string, file_path string")
+    return Answer(found, graph.facts(ends), graph.file_plan(target, own, ends.orderBy("rel_type", "edge_id").limit(fact_limit), file_limit + 1))
