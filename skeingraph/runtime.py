@@ -39,19 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def shared_path(spark: SparkSession, name: str = "t") -> str:
-    """A new path in the shared folder; what is written there goes when the driver's JVM ends."""
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """A folder that has been written goes when the driver's JVM ends."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and any executor can reread it."""
     spark = df.sparkSession
-    path = shared_path(spark)
+    path = os.path.join(shared_dir(spark), f"t-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
