@@ -62,7 +62,11 @@ def finish(store: Store, root: Path, repo_id: str, files: DataFrame, observation
     files = stored(records(files, repo_id, now))
     ms = lambda: int((time.perf_counter() - clock) * 1000)
     run = {"run_id": stable_id_of("run", repo_id, at, mode, length=20), "repo_id": repo_id, "mode": mode, "status": "ok", "started_at": at, "finished_at": now, "duration_ms": ms(), **counts, "error": None}
-    stats = store.commit(repo_id, root, nodes, edges, files, observations, run)
+    try:
+        stats = store.commit(repo_id, root, nodes, edges, files, observations, run)
+    except Exception as e:
+        store.record_failure(run, str(e))
+        raise
     return {
         "repo_id": repo_id, "status": "ok", "mode": mode, "store_root": str(store.root), "files_scanned": files.count(), **counts, "observations": observations.count(), "nodes": nodes.count(), "edges": edges.count(),
         "parse_errors": files.where("parse_status <> 'ok'").count(), "languages": language_counts(files), "duration_ms": ms(), **stats,

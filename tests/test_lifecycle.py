@@ -146,6 +146,29 @@ def test_binding_incompatible_and_rebuild(spark, service, repo, tmp_path):
     assert evaluate.percentile([], 50) == 0.0 and evaluate.percentile([4, 1, 3, 2], 50) == 2
 
 
+def test_columns_of_paths(spark):
+    from pyspark.sql import functions as F
+
+    from skeingraph.sources.languages import language_column, language_of, module_column, module_of
+
+    paths = ["a/b.py", "a/__init__.py", "__init__.py", "x/index.ts", "index.js", "a/index.py", "a.b/c.D.TSX", ".py", "a/.js", "no", "a/x.txt", "a/y.h", "s.SH", "a/b.test.js", "p.py/q"]
+    rows = spark.createDataFrame([(p,) for p in paths], "p string").withColumn("l", language_column(F.col("p")))
+    got = {r["p"]: (r["l"], r["m"]) for r in rows.withColumn("m", module_column(F.col("p"), F.col("l"))).collect()}
+    assert {p: v[0] for p, v in got.items()} == {p: language_of(p) for p in paths}
+    assert {p: v[1] for p, v in got.items() if v[0]} == {p: module_of(p, language_of(p)) for p in paths if language_of(p)}
+
+
+def test_failed_run_and_plain_graph(spark, tmp_path):
+    from skeingraph.functions import schemas
+    from skeingraph.operators.link import link
+
+    s = Service(spark, tmp_path).open()
+    nodes, edges = link(spark.createDataFrame([], schemas.OBSERVATION), "r", "t0")
+    assert s.commit_graph("r", tmp_path, nodes, edges, "t0")["nodes_created"] == 1
+    s.record_failure(s.runs().first().asDict() | {"started_at": "t1"}, "no space")
+    assert [(r["status"], r["error"]) for r in s.runs().collect()] == [("ok", None), ("error", "no space")] and s.nodes.count() == 1
+
+
 def test_cli(spark, service, repo, tmp_path, capsys):
     assert cli.main(["init", "--repo", str(tmp_path)], spark) == 0 and load_config(tmp_path)["port"] == 8031
     capsys.readouterr()
