@@ -29,11 +29,11 @@ def query(sql: str | None):
 
 
 def star(f):
-    """A query over the star graph's nodes and edges."""
+    """A query over the star graph's stored nodes and edges."""
 
     @wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(starmap.nodes(spark, sf_dir), starmap.edges(spark, sf_dir))
+        return f(*starmap.snapshot(spark, sf_dir))
 
     return run
 
@@ -52,15 +52,13 @@ def stable_node_ids(spark, sf_dir):
 
 
 @query(f"WITH {SQL_NODES} SELECT node_id, kind, name, fqname, file_path FROM nodes")
-@star
-def graph_nodes(nodes, edges):
-    return nodes.select("node_id", "kind", "name", "fqname", "file_path")
+def graph_nodes(spark, sf_dir):
+    return starmap.nodes(spark, sf_dir).select("node_id", "kind", "name", "fqname", "file_path")
 
 
 @query(both("SELECT edge_id, src_id, dst_id, rel_type, confidence, frequency FROM edges"))
-@star
-def graph_edges(nodes, edges):
-    return edges.select("edge_id", "src_id", "dst_id", "rel_type", "confidence", "frequency")
+def graph_edges(spark, sf_dir):
+    return starmap.edges(spark, sf_dir).select("edge_id", "src_id", "dst_id", "rel_type", "confidence", "frequency")
 
 
 @query(both("SELECT edge_id, frequency, array_to_string(evidence, ',') AS evidence FROM edges WHERE rel_type = 'CALLS'"))
@@ -446,7 +444,7 @@ SELECT count(*) AS total, count(*) FILTER (path IN (SELECT file_path FROM have))
 def eval_cases(nodes, edges):
     """Cases that each require a file among the callees of an order."""
     have = nodes.join(F.broadcast(graph.edges_for_node(edges, order_id(nodes), "out", ["CALLS"], 1000).select(F.col("dst_id").alias("node_id"))), "node_id").select("file_path").distinct()
-    want = nodes.where("kind = 'function'").select("file_path").where(F.regexp_extract("file_path", r"(\d+)$", 1).cast("int") <= 20)
+    want = nodes.where("kind = 'function'").select("file_path").where(F.regexp_extract("file_path", r"(\d+)$", 1).try_cast("int") <= 20)
     j = want.join(have.withColumn("hit", F.lit(True)), "file_path", "left")
     return j.agg(F.count("*").alias("total"), F.count_if(F.col("hit").isNotNull()).alias("passed"), F.count_if(F.col("hit").isNull()).alias("failed"))
 

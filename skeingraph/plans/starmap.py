@@ -6,12 +6,15 @@ parts (evidence: its lines) and IMPORTS its suppliers; a part INHERITS its brand
 
 from __future__ import annotations
 
+import os
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeingraph.functions.columns import stable_id
+from skeingraph.runtime import delete_at_exit, shared_dir
 
 REPO = "star"
 
@@ -74,6 +77,25 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(stable_id("edge", F.col("src_id"), F.col("dst_id"), F.col("rel_type")).alias("edge_id"), "src_id", "dst_id", "rel_type", sure.alias("confidence"), "frequency", "evidence", F.lit("active").alias("status"))
 
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+_snapshots: dict[tuple, str] = {}
+
+
+def snapshot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) as stored tables, as an index keeps them: built once for each state of the
+    source tables (their modification times) and read again by later queries of the application."""
+    path = lambda n: spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{n}.parquet")
+    times = tuple(p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime() for p in map(path, TABLES))
+    key = (spark.sparkContext.applicationId, sf_dir, times)
+    if key not in _snapshots:
+        base = os.path.join(shared_dir(spark), f"star-{uuid.uuid4().hex}")
+        nodes(spark, sf_dir).write.parquet(f"{base}/nodes")
+        edges(spark, sf_dir).write.parquet(f"{base}/edges")
+        delete_at_exit(spark, base)
+        _snapshots[key] = base
+    return spark.read.parquet(f"{_snapshots[key]}/nodes"), spark.read.parquet(f"{_snapshots[key]}/edges")
+
+
 def sql_id(prefix: str, *parts: str, length: int = 12) -> str:
     return f"'{prefix}_' || substr(sha1(" + " || chr(31) || ".join(parts) + f"), 1, {length})"
 
