@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 
 from skeingraph.runtime import columns_of, map_columns
 
-#: Chunks, and pre-tokens, kept with their ids by a Python worker; when full, the cache begins anew.
-CACHE = 400_000
+#: Pre-tokens, and chunks, kept with their ids by a Python worker; when full, a cache begins anew.
+CACHE, CHUNKS = 400_000, 200_000
 WORD = 8  # bits of a rank that one bitmap word covers
 
 
@@ -131,7 +131,7 @@ class Encoder:
             def __missing__(self, rest: str) -> tuple[int, ...]:
                 ids = outer.whole(rest if rest[:1] == "\n" else " " + rest)
                 if len(rest) < 64:
-                    if len(self) >= CACHE:
+                    if len(self) >= CHUNKS:
                         self.clear()
                     self[rest] = ids
                 return ids

@@ -12,7 +12,7 @@ import numpy as np
 import xxhash
 
 SIZE = 5
-CACHE = 300_000
+CACHE = 150_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 find_words = re.compile(r"[^\W_]+").findall
 
