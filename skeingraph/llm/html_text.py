@@ -5,10 +5,12 @@ blocks of text and notes for each its length, the share of stop words, the share
 links, whether it is a heading, and the containers that it stands in.
 
 Pass 1 decides on each block alone. Containers that say what they are (nav, footer, aside, form; or
-a class, id or role such as ad, sidebar, notice or comments) make their blocks boilerplate. Links
-over the limit make a block boilerplate. Inside an article or main element a block of some length
-is content; elsewhere length and stop-word density decide, and if a page has an article with text,
-what stands outside it is boilerplate. Short blocks stay undecided. Pass 2 gives these the label of
+a class, id or role such as ad, sidebar, notice or comments) make their blocks boilerplate. All
+other blocks are judged by length, stop-word density and links. An article or main element is a
+prior: inside it a moderate stop-word density is enough, one sign against a block (many links, or no
+stop words where the article's other text has them) leaves it undecided, and both signs, or almost
+only links, make it boilerplate. What stands outside articles is boilerplate only if one article has
+at least as much content-like text as all of it. Short blocks stay undecided. Pass 2 gives these the label of
 the nearest decided neighbours: content if both are, or the nearer one where they differ; inside an
 article only neighbours in the same article count, and without any the block is content.
 
@@ -21,10 +23,12 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from skeingraph.llm.shingles import find_words
 from skeingraph.runtime import columns_of, map_columns
 
 # Frequent function words of English, German, French and Spanish.
@@ -162,24 +166,48 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+def stop_words(text: str) -> tuple[int, int]:
+    """How many of the text's words are stop words, and how many words it has."""
+    words = find_words(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
 def first_pass(blocks: list[Block]) -> None:
-    """Sets label to True (content), False (boilerplate) or None (too short to tell)."""
-    inside = any(b.article and not b.bad for b in blocks)
+    """Sets label to True (content), False (boilerplate) or None (too short, or too little, to tell)."""
+    seen = []
+    known: dict[int, list[int]] = defaultdict(lambda: [0, 0])  # article -> its stop words and words
     for b in blocks:
-        size = len(b.text)
+        if b.bad:
+            continue
         density = b.linked / max(1, len(b.text.replace(" ", "")))
-        if b.bad or inside and not b.article:
-            b.label = False
-        elif b.article:
-            b.label = False if density > ARTICLE_LINK_LIMIT else None if size < SHORT else True
-        elif density > LINK_LIMIT or "©" in b.text:
+        stops, words = stop_words(b.text) if len(b.text) >= SHORT else (0, 0)
+        seen.append((b, density, stops / max(1, words)))
+        if density <= LINK_LIMIT:
+            known[b.article][0] += stops
+            known[b.article][1] += words
+    weight: dict[int, int] = defaultdict(int)  # article (0: outside) -> its content-like text
+    for b, density, share in seen:
+        size = len(b.text)
+        linked = density > LINK_LIMIT
+        if b.article:
+            poor = share < STOP_LOW and known[b.article][0] >= STOP_LOW * known[b.article][1] > 0
+            if density > ARTICLE_LINK_LIMIT or size >= SHORT and linked and poor:
+                b.label = False
+            else:
+                b.label = None if size < SHORT or linked or poor else True
+        elif linked or "©" in b.text:
             b.label = False
         elif size < SHORT:
             b.label = None if not b.linked else False
         else:
-            words = b.text.lower().split()
-            stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-            b.label = True if stops >= STOP_HIGH and size >= LONG or stops >= STOP_HIGH and b.text[-1] in ".!?" else None if stops >= STOP_LOW else False
+            b.label = True if share >= STOP_HIGH and (size >= LONG or b.text[-1] in ".!?") else None if share >= STOP_LOW else False
+        if b.label:
+            weight[b.article] += size
+    articles = {b.article for b, *_ in seen if b.article}
+    ruled = bool(articles) and max(weight[a] for a in articles) >= weight[0]
+    for b in blocks:
+        if b.bad or ruled and not b.article:
+            b.label = False
 
 
 def second_pass(blocks: list[Block]) -> list[bool]:

@@ -144,6 +144,19 @@ def test_html_rules():
     assert html_text.main_text("<article><p>A&#65;&#x42;&eacute;&notit;</p><p>  </p></article>") == "AABé¬it;"
 
 
+def test_html_article_is_a_prior():
+    good = "This is the main text of a post that stands in a plain element, and it is long enough to be decided by the share of stop words that it has in it."
+    names = "Sneakers Boots Sandals Loafers Trainers Slippers Leather Canvas Suede Laces Soles Heels Buckles"
+    assert html_text.main_text(f'<div class="post"><p>{good}</p></div><article class="reply"><p>First!</p></article>') == f"{good}\nFirst!"
+    replies = "".join(f"<article><p>{good}</p></article>" for _ in range(3))
+    assert html_text.main_text(f"<div><p>{good}</p><p>{good}</p></div>{replies}") == "\n".join([good] * 5)
+    assert html_text.main_text(f"<div>{good}</div><article><p>{good}</p><p>Short.</p><p>{good}</p></article>") == f"{good}\nShort.\n{good}"
+    assert html_text.main_text(f"<main><p>{good}</p><p>{names} <a href=1>{names}</a></p><p>{good}</p></main>") == f"{good}\n{good}"
+    assert html_text.main_text(f"<main><p>{good}</p><p>{names}</p><p>{good} <a href=1>{good}</a></p><p>{good}</p></main>") == f"{good}\n{names}\n{good} {good}\n{good}"
+    other = "Это длинный текст статьи на языке, для которого нет списка частых слов, и он остаётся весь."
+    assert html_text.main_text(f"<p><a href=1>Home</a></p><article><p><a href=2>Tag</a></p><p>{other}</p><p><a href=3>Tag</a></p></article>") == other
+
+
 def test_html_on_pages(spark):
     rows = queries.op3_html_extraction(spark, MIDDLE).join(table(spark, "pages").drop("url"), "page_id").collect()
     for r in rows:
