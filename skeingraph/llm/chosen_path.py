@@ -3,12 +3,14 @@
 Every document is the set of its word shingles. A MinHash signature stands for a sample of the
 set's tokens; a node of the search tree draws a few of the signature's places and splits its sets
 by the tokens there, so two sets stay together with a probability that their similarity gives.
-Runs start from different places; together the roots reach the target recall. Sets that are alone
+Runs start from different places. The number of runs, of a node's draws and of places follow from
+the threshold, so that a pair at the threshold is found with the target recall even if its buckets
+split as often as `DEPTH` allows (`missed`: nodes draw from the same places, which is counted in). Sets that are alone
 leave at once; buckets up to `LIMIT` sets are compared by brute force; larger ones split again,
 unless a child is hardly smaller than its parent: those sets are alike, and are compared by brute
 force too. Brute force goes in pairs of blocks of bounded size, spread over tasks, and in two steps:
-sets without a partner whose signature agrees in `AGREE` places leave (a pair at the threshold fails
-this in less than one case in a million), the others are compared on their whole shingle sets. All
+sets without a partner whose signature agrees in enough places leave (a pair at the threshold fails
+this in a tenth of the target's misses at most), the others are compared on their whole shingle sets. All
 similarities are exact.
 
 Copies (equal shingle sets) are joined as one set. Links are never written out pair by pair: each
@@ -24,9 +26,12 @@ are a value like any other; empty tables give empty tables; only the named colum
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from functools import cache
+from itertools import groupby, product
 from operator import itemgetter
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -38,32 +43,77 @@ from skeingraph.llm.shingles import permutations, shingle_hashes, words_of
 from skeingraph.runtime import columns_of, map_columns, ship, stored
 
 THRESHOLD = 0.8
-RUNS, FANOUT, PLACES = 4, 2, 24
+RECALL = 0.99999
 LIMIT = 1024
 #: A block has about so many sets, or shingles, at most.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 DEPTH = 6
-AGREE = 9
 #: Ids up to this number are broadcast (some 10 MB); more are joined by shuffle.
 BROADCAST_ROWS = 200_000
-#: A child with more than this share of its parent's sets ends the recursion.
-ALIKE = 0.7
 SEED = 5
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+class Plan(NamedTuple):
+    """Places that the roots take, one each; further places for splits; a node's draws of these; agreeing places that the screen asks for."""
+
+    roots: int
+    spare: int
+    fanout: int
+    agree: int
+
+    @property
+    def places(self) -> int:
+        return self.roots + self.spare
+
+    @property
+    def alike(self) -> float:
+        """A child with more than this share of its parent's sets ends the recursion: all children
+        together would have as many pairs as the parent."""
+        return self.fanout**-0.5
+
+
+def binomial(n: int, p: float) -> list[float]:
+    return [math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)]
+
+
+def missed(threshold: float, roots: int, spare: int, fanout: int, splits: int) -> float:
+    """The probability that a pair at the threshold shares no bucket after so many splits. All its
+    nodes draw from the same spare places, so it is summed over how many of these agree."""
+    total = 0.0
+    for agreeing, share in enumerate(binomial(spare, threshold)):
+        lost = 0.0
+        for _ in range(splits):
+            lost = sum(math.comb(agreeing, k) * math.comb(spare - agreeing, fanout - k) * lost**k for k in range(fanout + 1)) / math.comb(spare, fanout)
+        total += share * (1 - threshold * (1 - lost)) ** roots
+    return total
+
+
+@cache
+def plan(threshold: float, recall: float = RECALL) -> Plan:
+    """The cheapest plan for the recall: few spare places, then few roots, then few draws."""
+    most = 1 - recall
+    least = max(2, math.ceil(math.log(most) / math.log(1 - threshold))) if threshold < 1 else 2
+    for spare, more, fanout in product((24, 32, 48, 64, 96, 128), range(9), range(2, 7)):
+        if missed(threshold, least + more, spare, fanout, DEPTH - 1) <= 0.9 * most:
+            chances = binomial(least + more + spare, threshold)
+            agree = max(a for a in range(len(chances)) if sum(chances[:a]) <= 0.1 * most)
+            return Plan(least + more, spare, fanout, agree)
+    raise ValueError(f"no plan reaches a recall of {recall} at a threshold of {threshold}")
+
+
+def sketch(docs: DataFrame, places: int, id_col: str, text_col: str) -> DataFrame:
     """(id, th, set_id, n, sig): the text's hash, the shingle set's digest and size, its signature."""
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("th", T.LongType()), T.StructField("set_id", T.StringType()), T.StructField("n", T.LongType()), T.StructField("sig", T.ArrayType(T.LongType()))])
     rows = columns_of(docs, id_col, text_col).toDF("id", "text").select("id", F.xxhash64("text").alias("th"), "text")
 
     def start():
-        a, b = permutations(PLACES, SEED)
+        a, b = permutations(places, SEED)
 
         def one(text):
             h = np.unique(shingle_hashes(words_of(text)))
             if not len(h):
                 return None, 0, None
-            low = np.full(PLACES, np.iinfo(np.uint64).max, np.uint64)
+            low = np.full(places, np.iinfo(np.uint64).max, np.uint64)
             for lo in range(0, len(h), 4096):
                 low = np.minimum(low, (h[lo : lo + 4096, None] * a + b).min(axis=0))
             return hashlib.blake2b(h.tobytes(), digest_size=16).hexdigest(), len(h), low.view(np.int64).tolist()
@@ -84,22 +134,21 @@ def sized(members: DataFrame) -> DataFrame:
     return stored(members.join(n, "node"))
 
 
-def leaves(sets: DataFrame) -> DataFrame:
+def leaves(sets: DataFrame, by: Plan) -> DataFrame:
     """(set_id, node, size) of the buckets to be compared by brute force."""
-    roots = [token(F.lit(p), F.lit(p // FANOUT)) for p in range(RUNS * FANOUT)]
+    roots = [token(F.lit(p), F.lit(p)) for p in range(by.roots)]
     level = sized(sets.select("set_id", F.explode(F.array(*roots)).alias("node"), F.lit(None).cast("long").alias("parent")))
     out = []
-    first, spare = RUNS * FANOUT, PLACES - RUNS * FANOUT
     for depth in range(1, DEPTH + 1):
-        done = (F.col("size") <= LIMIT) | (F.lit(depth == DEPTH)) | F.coalesce(F.col("size") > ALIKE * F.col("parent"), F.lit(False))
+        done = (F.col("size") <= LIMIT) | (F.lit(depth == DEPTH)) | F.coalesce(F.col("size") > by.alike * F.col("parent"), F.lit(False))
         out.append(level.where(done).select("set_id", "node", "size"))
         large = level.where(~done)
         if large.isEmpty():
             break
-        place = F.pmod(F.xxhash64("node"), F.lit(spare))
-        other = F.pmod(place + 1 + F.pmod(F.xxhash64("node", F.lit(1)), F.lit(spare - 1)), F.lit(spare))
-        children = large.join(sets.select("set_id", "sig"), "set_id").select("set_id", F.explode(F.array(token(place + first, F.col("node")), token(other + first, F.col("node")))).alias("node"), F.col("size").alias("parent"))
-        level = sized(children)
+        order = F.array_sort(F.array(*(F.struct(F.xxhash64("node", F.lit(p)).alias("by"), F.lit(p).alias("place")) for p in range(by.roots, by.places))))
+        drawn = F.transform(F.slice(order, 1, by.fanout), lambda x: token(x["place"], F.col("node")))
+        children = large.join(sets.select("set_id", "sig"), "set_id").select("set_id", F.explode(drawn).alias("node"), F.col("size").alias("parent"))
+        level = sized(stored(children))
     joined = out[0]
     for x in out[1:]:
         joined = joined.unionAll(x)
@@ -137,16 +186,16 @@ def sides(group: list[dict]) -> tuple[list[dict], list[dict]]:
     return [r for r in rows if r["block"] == r["left"]], [r for r in rows if r["block"] == r["right"]]
 
 
-def screen(group: list[dict]) -> list[tuple[int, str]]:
+def screen(group: list[dict], agree: int) -> list[tuple[int, str]]:
     """(node, set_id) of the sets that agree with another one in enough places of the signature."""
     left, right = sides(group)
     if not left or not right or len(left) + len(right) < 3 - (left is not right):
         return []
     x, y = (np.array([r["sig"] for r in side], np.int64) for side in (left, right))
-    same = np.zeros((len(x), len(y)), np.int8)
-    for p in range(PLACES):
+    same = np.zeros((len(x), len(y)), np.uint8)
+    for p in range(x.shape[1]):
         same += x[:, p, None] == y[None, :, p]
-    near = same >= AGREE
+    near = same >= agree
     if left is right:
         np.fill_diagonal(near, False)
         return [(r["node"], r["set_id"]) for r, hit in zip(left, near.any(axis=1), strict=True) if hit]
@@ -244,7 +293,8 @@ TASK = (("node", T.LongType()), ("left", T.LongType()), ("right", T.LongType()),
 
 def linked(docs: DataFrame, sets: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """(set_id, n_links, buddy) partial results; shingles are made anew for the sets that pass the screen only."""
-    first = leaves(sets).join(sets.select("set_id", "sig"), "set_id").select("node", "size", "set_id", "sig")
+    by = plan(threshold)
+    first = leaves(sets, by).join(sets.select("set_id", "sig"), "set_id").select("node", "size", "set_id", "sig")
 
     def dealt():
         def run(nodes, sizes, set_ids, sigs):
@@ -254,7 +304,7 @@ def linked(docs: DataFrame, sets: DataFrame, threshold: float, id_col: str, text
         return run
 
     tasks = map_columns(first, T.StructType([*(T.StructField(*x) for x in TASK), T.StructField("sig", T.ArrayType(T.LongType()))]), dealt)
-    passed = stored(by_task(tasks, T.StructType([T.StructField("node", T.LongType()), T.StructField("set_id", T.StringType())]), screen).distinct())
+    passed = stored(by_task(tasks, T.StructType([T.StructField("node", T.LongType()), T.StructField("set_id", T.StringType())]), lambda group: screen(group, by.agree)).distinct())
     sizes = passed.join(sets.select("set_id", "n"), "set_id").groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
     nodes = passed.join(sizes, "node").groupBy("set_id").agg(F.collect_list(F.struct("node", "size", "total")).alias("nodes"))
     active = stored(nodes.join(sets.select("set_id", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th")), "set_id"))
@@ -281,7 +331,7 @@ def linked(docs: DataFrame, sets: DataFrame, threshold: float, id_col: str, text
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The sketch's rows, and (set_id, rep, copies, n_links, first) of every shingle set: rep is the
     smallest (id, text hash) of the set, first that of all sets linked with it, directly or not."""
-    rows = stored(sketch(docs, id_col, text_col))
+    rows = stored(sketch(docs, plan(threshold).places, id_col, text_col))
     sets = stored(rows.where("n > 0").groupBy("set_id").agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     links = stored(linked(docs, sets, threshold, id_col, text_col))
     counts = links.groupBy("set_id").agg(F.sum("n_links").alias("n_links"))

@@ -278,6 +278,33 @@ def test_jaccard_join(spark, monkeypatch):
     assert kept == {i for i, (_, c, _) in want.items() if i == c}
 
 
+def test_jaccard_join_at_a_lower_threshold(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    texts = []
+    for _ in range(150):  # pairs of 96 shingles that share 66 or a few more
+        w = [word() for _ in range(100)]
+        texts += [" ".join(w), " ".join([*w[: rng.randrange(70, 74)], *(word() for _ in range(30))][:100])]
+    want = sum(1 for i in range(0, 300, 2) for a, b in [(set(shingle_hashes(words_of(t)).tolist()) for t in texts[i : i + 2])] if len(a & b) >= 0.5 * len(a | b))
+    got = chosen_path.join(spark.createDataFrame(enumerate(texts), "doc_id bigint, text string"), threshold=0.5).where("n_links = 1").count()
+    assert got == 2 * want and want > 100
+
+
+def test_recall_of_split_buckets():
+    for threshold in (0.9, 0.8, 0.7, 0.5):
+        p = chosen_path.plan(threshold)
+        screened = sum(chosen_path.binomial(p.places, threshold)[: p.agree])
+        assert all(chosen_path.missed(threshold, p.roots, p.spare, p.fanout, n) + screened <= 1 - chosen_path.RECALL for n in range(chosen_path.DEPTH))
+    rng = np.random.default_rng(2)
+    lost = 0
+    for _ in range(20_000):  # the formula against draws, where misses are frequent
+        agrees, alive = rng.random(16) < 0.5, (rng.random(4) < 0.5).sum()
+        for _ in range(2):
+            alive = sum(agrees[rng.choice(16, 2, replace=False)].sum() for _ in range(alive))
+        lost += alive == 0
+    assert abs(lost / 20_000 - chosen_path.missed(0.5, 4, 16, 2, 2)) < 0.02
+
+
 def test_jaccard_odd_rows(spark, odd, none):
     got = sorted(((r["doc_id"], r["copy_id"], r["n_copies"], r["class_id"], r["n_links"]) for r in chosen_path.join(odd).collect()), key=str)
     assert got == sorted([(1, 1, 1, 1, 0), (2, 2, 1, 2, 0), (3, 3, 1, 3, 0), (4, 4, 1, 4, 0), (5, 5, 2, 5, 0), (5, 5, 2, 5, 0), (6, 6, 1, 6, 0), (7, 7, 1, 7, 0), (8, 8, 2, 8, 0), (9, 8, 2, 8, 0), (None, None, 1, None, 0)], key=str)
