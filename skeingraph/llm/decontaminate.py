@@ -4,7 +4,8 @@ Items are partitioned by their number of distinct shingles into classes of a fac
 class of at most S shingles a document is searched as windows of 2 S shingles that move on by S,
 so a passage of the item's length lies wholly in one, and the Jaccard similarity of item and window
 stays above a bound that doesn't depend on the document's length. Single-row MinHash bands, as many
-as the bound needs for the target recall, give candidates; for each of them the share of the item's
+as the bound needs for the target recall, give candidates. Items of up to `FEW` shingles are below
+that bound: they are looked up by their shingles. For each candidate the share of the item's
 distinct shingles that the whole document has is then counted on the words themselves.
 
 The benchmark is the stated query set: it is taken in blocks of at most `block` items, each
@@ -34,6 +35,8 @@ THRESHOLD = 0.8
 RECALL = 0.99999
 BLOCK = 10_000
 SEED = 77
+#: Items of up to so many shingles are found by these, without windows; larger ones have half of the smallest class's size at least.
+FEW = 3
 
 
 def bands(threshold: float, recall: float) -> int:
@@ -50,26 +53,34 @@ class Search:
         self.threshold = threshold
         self.a, self.b = permutations(bands(threshold, recall), SEED)
         self.items: list[tuple[object, np.ndarray, list[str]]] = []
+        self.few: dict[int, list[int]] = defaultdict(list)  # shingle -> items of few shingles
         self.found: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))  # class -> MinHash value -> items
         for key, text in items:
             words = words_of(text)
             h = np.unique(shingle_hashes(words))
             if not len(h):
                 continue
-            values = (h[:, None] * self.a + self.b).min(axis=0)
-            at = self.found[max(3, int(len(h) - 1).bit_length())]
-            for v in set(values.tolist()):
-                at[v].append(len(self.items))
+            if len(h) <= FEW:
+                for v in h.tolist():
+                    self.few[v].append(len(self.items))
+            else:
+                values = (h[:, None] * self.a + self.b).min(axis=0)
+                at = self.found[max(3, int(len(h) - 1).bit_length())]
+                for v in set(values.tolist()):
+                    at[v].append(len(self.items))
             self.items.append((key, h, words))
         self.found = {c: dict(x) for c, x in sorted(self.found.items())}
         self.masks = {}
-        for c, x in self.found.items():  # a quick look-up by the first bits
+        for c, x in [*self.found.items(), (0, self.few)]:  # a quick look-up by the first bits
             self.masks[c] = np.zeros(1 << 18, bool)
             self.masks[c][(np.fromiter(x, np.uint64, len(x)) >> np.uint64(46)).astype(np.int64)] = True
 
     def candidates(self, h: np.ndarray) -> set[int]:
-        """Items that share a MinHash value with a window of their class."""
+        """Items that share a MinHash value with a window of their class, or a shingle if they have few."""
         out: set[int] = set()
+        if self.few:
+            for v in h[self.masks[0][(h >> np.uint64(46)).astype(np.int64)]].tolist():
+                out.update(self.few.get(v, ()))
         if not len(h) or not self.found:
             return out
         size, minima = 1 << min(self.found), None

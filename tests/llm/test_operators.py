@@ -100,6 +100,19 @@ def test_decontaminate_finds_short_items_in_long_texts(spark, odd, none):
 # ---- 2
 
 
+def test_decontaminate_finds_all_items_of_few_shingles():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    items = [(k, " ".join(word() for _ in range(5 + k % 3))) for k in range(300)]
+    held = decontaminate.Search(items)
+    missing = 0
+    for k, text in items * 5:
+        words = [word() for _ in range(200)]
+        words[100:100] = text.split()
+        missing += (k, k % 3 + 1, k % 3 + 1) not in held.hits(" ".join(words))
+    assert missing == 0 and decontaminate.Search([]).hits("a b") == []
+
+
 def test_isotonic_and_kernel():
     x, y = np.array([1.0, 2, 3, 4, 5, 6]), np.array([0.0, 1, 0, 1, 1, 1])
     knots, values = quality_rff.isotonic(x, y)
