@@ -32,6 +32,7 @@ SEED = 20_240_511
 #: Code points counted at a time; longer texts go through in several pieces.
 PIECE = 1 << 20
 UNKNOWN = "und"
+SHORT = 20
 
 
 def held_out(id_col: Column) -> Column:
@@ -92,14 +93,22 @@ def document_vector(text: str | None) -> np.ndarray | None:
     return total / max(np.linalg.norm(total), 1e-9)
 
 
-def fit(docs: DataFrame, per_lang: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """Prototypes from rows with a language that are not held out."""
+def learning(docs: DataFrame, per_lang: int, id_col: str, text_col: str, lang_col: str) -> DataFrame | None:
+    """(id, text, lang) of the learning documents: a sample of the rows with a language that are not held out."""
     d = columns_of(docs, id_col, text_col, lang_col).toDF("id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("id")))
     n = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not n:
-        return {}
+        return None
     share = F.create_map(*(F.lit(x) for k, v in n.items() for x in (k, per_lang / v)))
     drawn = F.pmod(F.xxhash64(F.col("id")), F.lit(1 << 24)) / F.lit(float(1 << 24)) < share[F.col("lang")]
+    return d.where(drawn)
+
+
+def fit(docs: DataFrame, per_lang: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
+    """Prototypes from rows with a language that are not held out."""
+    drawn = learning(docs, per_lang, id_col, text_col, lang_col)
+    if drawn is None:
+        return {}
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("part", T.ArrayType(T.DoubleType()))])
 
     def start():
@@ -114,7 +123,7 @@ def fit(docs: DataFrame, per_lang: int = 1500, id_col: str = "doc_id", text_col:
         return run
 
     out: dict[str, np.ndarray] = {}
-    for r in map_columns(d.where(drawn).select("text", "lang"), schema, start).collect():  # at most a row for each drawn document
+    for r in map_columns(drawn.select("text", "lang"), schema, start).collect():  # at most a row for each drawn document
         out[r["lang"]] = out.get(r["lang"], 0) + np.array(r["part"])
     return {k: (v / np.linalg.norm(v)).astype(np.float32) for k, v in sorted(out.items())}
 
@@ -146,15 +155,26 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id
     return map_columns(columns_of(docs, id_col, text_col), schema, start)
 
 
+def least_score(docs: DataFrame, model: dict[str, np.ndarray], share: float = 0.001, per_lang: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """Half of the cosine that all but this share of the learning documents with letters reach; texts
+    of a language that was not learned, and junk of letters, are below it."""
+    drawn = learning(docs, per_lang, id_col, text_col, lang_col) if model else None
+    if drawn is None:
+        return 0.0
+    scores = [r["score"] for r in predict(drawn, model, "id", "text").where(F.col("lang_pred") != UNKNOWN).select("score").collect()]  # one for each drawn document
+    return float(np.quantile(scores, share)) / 2 if scores else 0.0
+
+
 def keep_known(docs: DataFrame, model: dict[str, np.ndarray], languages: set[str] | None = None, min_score: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The rows, with all columns, whose language is known, is one of `languages` (None: any) and has min_score."""
+    """The rows, with all columns, whose language is known, is one of `languages` (None: any) and has
+    min_score; texts of fewer than `SHORT` characters need no score, as a word or two say too little."""
 
     def start():
         one = judge(model)
 
         def ok(text):
             lang, score = one(text)
-            return lang != UNKNOWN and (languages is None or lang in languages) and score >= min_score
+            return lang != UNKNOWN and (languages is None or lang in languages) and (score >= min_score or len(text) < SHORT)
 
         return lambda texts: list(map(ok, texts))
 

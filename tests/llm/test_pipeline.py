@@ -37,3 +37,13 @@ def test_stages_and_run(spark):
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     out = {r["doc_id"]: r["ids_sha256"] for r in corpus_pipeline.run(spark, SMALL).collect()}
     assert out == {i: hashlib.sha256(",".join(map(str, own.encode_ordinary(rows[i]))).encode()).hexdigest() for i in left} and len(left) > 100
+
+
+def test_language_rejects_what_was_not_learned(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    known = {r["doc_id"] for r in docs.collect()}
+    texts = ["Это длинный текст на языке, которого никто не учил, и он идёт дальше и дальше.", "xzqk" * 200, "qqqq " * 100, "1234"]
+    known.add(100_000)
+    odd = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(texts)] + [(100_000, "Avec.")], "doc_id bigint, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.unionByName(odd, allowMissingColumns=True), SMALL).collect()}
+    assert kept == known
