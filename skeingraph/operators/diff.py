@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skeingraph.functions.columns import stable_id
 
@@ -19,17 +20,28 @@ def fingerprint_diff(current: DataFrame, cached: DataFrame) -> DataFrame:
     return c.join(o, "file_path", "full_outer").select("file_path", change.alias("change"))
 
 
-def content_of(columns: list[str]) -> Column:
+def ordered(value: Column, kind: T.DataType) -> Column:
+    """The value with each map, at any depth, as its entries in key order; nulls stay null."""
+    if isinstance(kind, T.MapType):
+        return F.transform(F.array_sort(F.map_keys(value)), lambda k: F.struct(k.alias("k"), ordered(F.element_at(value, k), kind.valueType).alias("v")))
+    if isinstance(kind, T.ArrayType) and "map<" in kind.simpleString():
+        return F.transform(value, lambda x: ordered(x, kind.elementType))
+    if isinstance(kind, T.StructType) and "map<" in kind.simpleString():
+        return F.when(value.isNotNull(), F.struct(*(ordered(value[f.name], f.dataType).alias(f.name) for f in kind)))
+    return value
+
+
+def content_of(columns: list[str], schema: T.StructType) -> Column:
     """A digest of a row without bookkeeping; nulls count as values, maps by their entries in key order."""
-    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    return F.sha2(F.to_json(F.struct(*(ordered(F.col(c), schema[c].dataType).alias(c) for c in columns)), {"ignoreNullFields": "false"}), 256)
 
 
 def graph_diff(new: DataFrame, stored_rows: DataFrame, key: str) -> DataFrame:
     """Every row of either side once, with op: create, update, restore, delete, or null if nothing
     changed (a row that was deleted and stays so counts as unchanged)."""
     columns = [c for c in new.columns if c not in BOOKKEEPING]
-    n = new.select(F.col(key).alias("__k"), F.struct(*new.columns).alias("n"), content_of(columns).alias("c1"))
-    o = stored_rows.select(F.col(key).alias("__k"), F.struct(*new.columns).alias("o"), content_of(columns).alias("c2"))
+    n = new.select(F.col(key).alias("__k"), F.struct(*new.columns).alias("n"), content_of(columns, new.schema).alias("c1"))
+    o = stored_rows.select(F.col(key).alias("__k"), F.struct(*new.columns).alias("o"), content_of(columns, stored_rows.schema).alias("c2"))
     had, has = F.col("o").isNotNull(), F.col("n").isNotNull()
     op = F.when(has & ~had, "create").when(has & (F.col("o.status") != "active"), "restore").when(has & (F.col("c1") != F.col("c2")), "update").when(had & ~has & (F.col("o.status") == "active"), "delete")
     return n.join(o, "__k", "full_outer").withColumn("op", op)
@@ -54,6 +66,12 @@ def applied(diff: DataFrame, columns: list[str], now: str) -> DataFrame:
     return diff.select(*(value(c).alias(c) for c in columns), "op")
 
 
+def stats(ops: DataFrame) -> DataFrame:
+    """One row (created, updated, deleted) of rows with op; a restored row counts as updated."""
+    op = F.col("op")
+    return ops.agg(F.count_if(op == "create").alias("created"), F.count_if(op.isin("update", "restore")).alias("updated"), F.count_if(op == "delete").alias("deleted"))
+
+
 def events(diff: DataFrame, entity: str, key: str, run_id: str, repo_id: str, now: str, actor: str = "indexer") -> DataFrame:
     """A history row for each change."""
     changed = diff.where("op IS NOT NULL")

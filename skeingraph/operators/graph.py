@@ -1,13 +1,15 @@
 """Symbol and graph queries over node and edge tables.
 
-Point queries return small frames: the ids that a query starts from are few, so they are broadcast
-(a bound that the limits give) and the large tables are scanned once with pushed filters. Walks
-over the graph keep their frontier in the shared folder, join it with the edges and drop what was
-seen, hop by hop.
+Edges are one table, or the same rows clustered twice (`Edges`): by source and by target. A look-up
+from one end then reads few row groups of the copy for that end; a single table is scanned.
+Walks over the graph keep their frontier in the shared folder, join it with the edges and drop what
+was seen, hop by hop; frontiers are counted, and broadcast only below a bound.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,24 @@ SUMMARY = ("node_id", "fqname", "kind", "language", "name", "file_path", "span",
 STRATEGIES = ("fqname_exact", "name_exact", "file_exact", "fuzzy")
 #: Frontiers up to so many ids are broadcast; larger ones are joined by shuffle.
 SMALL = 20_000
+#: So many ids are named in the filter, which Parquet then compares with the bounds of row groups.
+NAMED = 10
+
+
+class Edges(NamedTuple):
+    """The same edges, clustered by src_id and by dst_id."""
+
+    by_src: DataFrame
+    by_dst: DataFrame
+
+
+def clustered(rows: DataFrame, key: str) -> DataFrame:
+    """Rows in ranges of the key, sorted within them, as tables for look-ups are written."""
+    return rows.repartitionByRange(key).sortWithinPartitions(key)
+
+
+def one_table(edges: DataFrame | Edges) -> DataFrame:
+    return edges.by_src if isinstance(edges, Edges) else edges
 
 
 def active(rows: DataFrame) -> DataFrame:
@@ -67,32 +87,36 @@ def candidates(nodes: DataFrame, query: str, limit: int) -> DataFrame:
     return top.withColumns({"place": F.row_number().over(few), "best": F.first("tier").over(few)}).where("tier = best").drop("best")
 
 
-def incident(edges: DataFrame, node_ids: list[str], direction: str = "both", rel_types: list[str] | None = None) -> DataFrame:
+def incident(edges: DataFrame | Edges, node_ids: list[str], direction: str = "both", rel_types: list[str] | None = None) -> DataFrame:
     """Active edges of the nodes."""
-    ends = {"in": [F.col("dst_id")], "out": [F.col("src_id")], "both": [F.col("src_id"), F.col("dst_id")]}.get(direction)
-    if ends is None:
+    if direction not in ("in", "out", "both"):
         raise ValueError(f"unknown edge direction: {direction}")
-    hit = ends[0].isin(node_ids)
-    for e in ends[1:]:
-        hit = hit | e.isin(node_ids)
-    found = active(edges).where(hit)
+    starts, ends = F.col("src_id").isin(node_ids), F.col("dst_id").isin(node_ids)
+    if isinstance(edges, Edges):
+        found = {"out": lambda: edges.by_src.where(starts), "in": lambda: edges.by_dst.where(ends), "both": lambda: edges.by_src.where(starts).unionAll(edges.by_dst.where(ends & ~starts))}[direction]()
+    else:
+        found = edges.where({"out": starts, "in": ends, "both": starts | ends}[direction])
+    found = active(found)
     return found.where(F.col("rel_type").isin(rel_types)) if rel_types else found
 
 
-def edges_for_node(edges: DataFrame, node_id: str, direction: str = "both", rel_types: list[str] | None = None, limit: int = 100) -> DataFrame:
+def edges_for_node(edges: DataFrame | Edges, node_id: str, direction: str = "both", rel_types: list[str] | None = None, limit: int = 100) -> DataFrame:
     """The first edges of a node by type and id."""
     return incident(edges, [node_id], direction, rel_types).orderBy("rel_type", "edge_id").limit(limit)
 
 
 def with_ends(edges: DataFrame, nodes: DataFrame, columns: tuple[str, ...] = SUMMARY) -> DataFrame:
-    """A few edges with src and dst as structs of node columns; of a missing node only its id is set."""
-    ids = edges.select(F.explode(F.array("src_id", "dst_id")).alias("node_id")).distinct()
-    known = stored(nodes.select(*columns).join(F.broadcast(ids), "node_id", "left_semi"))  # as few rows as ids: the nodes are scanned once
+    """Edges with src and dst as structs of node columns; of a missing node only its id is set. The
+    ends are counted: few are broadcast, and the nodes are scanned once for them; many are joined by
+    shuffle."""
+    ids = stored(edges.select(F.explode(F.array("src_id", "dst_id")).alias("node_id")).distinct())
+    hint = F.broadcast if ids.count() <= SMALL else lambda rows: rows
+    known = stored(nodes.select(*columns).join(hint(ids), "node_id", "left_semi"))
     out = edges
     for end in ("src", "dst"):
         one = known.select(F.col("node_id").alias(f"__{end}"), F.struct(*columns).alias(f"{end}_node"))
         missing = F.struct(*(F.col(f"{end}_id").alias(c) if c == "node_id" else F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in columns))
-        out = out.join(F.broadcast(one), F.col(f"{end}_id") == F.col(f"__{end}"), "left").withColumn(end, F.coalesce(f"{end}_node", missing)).drop(f"__{end}", f"{end}_node")
+        out = out.join(hint(one), F.col(f"{end}_id") == F.col(f"__{end}"), "left").withColumn(end, F.coalesce(f"{end}_node", missing)).drop(f"__{end}", f"{end}_node")
     return out
 
 
@@ -120,48 +144,66 @@ def file_plan(target_id: str, target: DataFrame, found: DataFrame, limit: int) -
     return grouped.select("file_path", "priority", F.array_join(F.array_distinct(F.transform("all", lambda x: x["reason"])), "; ").alias("reason"), F.array_distinct(F.transform("all", lambda x: x["node_id"])).alias("related_nodes")).orderBy("priority", "file_path").limit(limit)
 
 
-def near(rows: DataFrame, ids: DataFrame, condition: Column, how: str = "inner") -> DataFrame:
-    """rows joined with a frontier, which is broadcast if it is small (it is counted, as it is stored)."""
-    return rows.join(F.broadcast(ids) if ids.count() <= SMALL else ids, condition, how)
+def near(rows: DataFrame, key: str, ids: DataFrame, n: int, how: str = "inner") -> DataFrame:
+    """rows joined on key with the id of a stored frontier of n rows: broadcast if they are few, and
+    named in the filter if they are very few."""
+    if n <= NAMED:
+        rows = rows.where(F.col(key).isin([r["id"] for r in ids.select("id").collect()]))
+    return rows.join(F.broadcast(ids) if n <= SMALL else ids, F.col(key) == F.col("id"), how)
 
 
-def neighborhood(nodes: DataFrame, edges: DataFrame, node_id: str, hops: int = 1, edge_types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def neighborhood(nodes: DataFrame, edges: DataFrame | Edges, node_id: str, hops: int = 1, edge_types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes with their hop, edges) within some hops of a node, edges taken in both directions. An
     edge belongs if one of its ends was reached before the last hop. Deleted nodes appear if an active
     edge names them; a node that has no row doesn't."""
-    e = active(edges)
-    if edge_types:
-        e = e.where(F.col("rel_type").isin(edge_types))
-    spark = nodes.sparkSession
-    seen = stored(spark.createDataFrame([(node_id, 0)], "id string, hop int"))
-    frontier, touched = seen, None
+    both = edges if isinstance(edges, Edges) else Edges(edges, edges)
+    by_src, by_dst = (active(e).where(F.col("rel_type").isin(edge_types)) if edge_types else active(e) for e in both)
+    seen = stored(nodes.sparkSession.createDataFrame([(node_id, 0)], "id string, hop int"))
+    frontier, n, total, touched = seen, 1, 1, None
     for hop in range(1, max(1, hops) + 1):
-        ids = frontier.select(F.col("id").alias("__f"))
-        hit = stored(near(e, ids, F.col("src_id") == F.col("__f"), "left_semi").unionAll(near(e, ids, F.col("dst_id") == F.col("__f"), "left_semi")).dropDuplicates(["edge_id"]))
+        ids = frontier.select("id")
+        hit = stored(near(by_src, "src_id", ids, n, "left_semi").unionAll(near(by_dst, "dst_id", ids, n, "left_semi")))
         touched = hit if touched is None else touched.unionAll(hit)
         ends = hit.select(F.explode(F.array("src_id", "dst_id")).alias("id")).distinct()
-        frontier = stored(ends.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)))
-        if frontier.isEmpty():
+        frontier = stored(ends.join(F.broadcast(seen.select("id")) if total <= SMALL else seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)))
+        n = frontier.count()
+        if not n:
             break
-        seen = seen.unionAll(frontier)
-    return near(nodes, seen.withColumnRenamed("id", "__id"), F.col("node_id") == F.col("__id")).drop("__id"), touched.dropDuplicates(["edge_id"])
-
-
-def shortest_path(edges: DataFrame, src_id: str, dst_id: str, max_hops: int = 2) -> dict:
-    """The path of fewest hops along active edges of all types; among these the one whose list of
-    edge ids is smallest. A path from a node to itself needs a cycle. The state is one path a node."""
-    spark = edges.sparkSession
-    e = active(edges).select("edge_id", "src_id", "dst_id")
-    frontier = stored(spark.createDataFrame([(src_id, [], [src_id])], "id string, edges array<string>, nodes array<string>"))
-    seen = frontier.select("id")
+        seen, total = seen.unionAll(frontier), total + n
+    return near(nodes, "node_id", seen, total).drop("id"), touched.dropDuplicates(["edge_id"])
+
+
+def path_to_any(edges: DataFrame | Edges, src_id: str, dst_ids: list[str], max_hops: int = 2) -> dict:
+    """The path of fewest hops along active edges of all types from a node to any of the others; among
+    these the one whose list of edge ids is smallest. A path from a node to itself needs a cycle.
+
+    Both ends are walked towards each other, the smaller frontier first, so that hubs are entered
+    late. The state of a walk is the smallest path of each node that it has reached."""
+    both = edges if isinstance(edges, Edges) else Edges(edges, edges)
+    start = lambda ids: stored(both.by_src.sparkSession.createDataFrame([(i, [], [i]) for i in ids], "id string, edges array<string>, nodes array<string>"))
+    rows = {"src_id": both.by_src, "dst_id": both.by_dst}
+    frontier = {"src_id": start([src_id]), "dst_id": start(dst_ids)}
+    size = {"src_id": 1, "dst_id": len(dst_ids)}
+    seen = {end: (f.select("id"), size[end]) for end, f in frontier.items()}
     for _ in range(max_hops):
-        step = near(e, frontier, F.col("src_id") == F.col("id")).select(F.col("dst_id").alias("id"), F.array_append("edges", F.col("edge_id")).alias("edges"), F.array_append("nodes", F.col("dst_id")).alias("nodes"))
+        end, other = ("src_id", "dst_id") if size["src_id"] <= size["dst_id"] else ("dst_id", "src_id")
+        add = F.array_append if end == "src_id" else F.array_prepend
+        step = near(active(rows[end]).select("edge_id", "src_id", "dst_id"), end, frontier[end], size[end]).select(F.col(other).alias("id"), add("edges", F.col("edge_id")).alias("edges"), add("nodes", F.col(other)).alias("nodes"))
         best = stored(step.groupBy("id").agg(F.min(F.struct("edges", "nodes")).alias("p")).select("id", "p.edges", "p.nodes"))
-        hit = best.where(F.col("id") == dst_id).first()
+        first, last = (best, frontier[other]) if end == "src_id" else (frontier[other], best)
+        meet = first.alias("a").join(F.broadcast(last.alias("b")) if size[other] <= SMALL and end == "src_id" else last.alias("b"), "id")
+        hit = meet.select(F.struct(F.concat("a.edges", "b.edges").alias("edges"), F.concat("a.nodes", F.slice("b.nodes", 2, F.size("b.nodes"))).alias("nodes")).alias("p")).agg(F.min("p")).first()[0]
         if hit:
             return {"nodes": list(hit["nodes"]), "edges": list(hit["edges"]), "found": True}
-        frontier = stored(best.join(seen, "id", "left_anti"))
-        if frontier.isEmpty():
+        known, total = seen[end]
+        frontier[end] = stored(best.join(F.broadcast(known) if total <= SMALL else known, "id", "left_anti"))
+        size[end] = frontier[end].count()
+        if not size[end]:
             break
-        seen = seen.unionAll(frontier.select("id"))
+        seen[end] = known.unionAll(frontier[end].select("id")), total + size[end]
     return {"nodes": [], "edges": [], "found": False}
+
+
+def shortest_path(edges: DataFrame | Edges, src_id: str, dst_id: str, max_hops: int = 2) -> dict:
+    """path_to_any() for one target."""
+    return path_to_any(edges, src_id, [dst_id], max_hops)

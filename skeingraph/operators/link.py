@@ -23,6 +23,12 @@ def only(key: str = "node_id") -> tuple[Column, Column]:
     return F.min(key).alias("low"), F.max(key).alias("high")
 
 
+def last_wins(rows: DataFrame, keys: list[str], values: list[str], order: str, *more: Column) -> DataFrame:
+    """For each key the values of its last row in the order, and further aggregates."""
+    grouped = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("__last"), *more)
+    return grouped.select(*keys, "__last.*", *grouped.columns[len(keys) + 1 :])
+
+
 def prepared(observations: DataFrame) -> DataFrame:
     """Observations with language, node id, place in order and the prefix of evidence types."""
     parser = F.coalesce("raw.parser", F.lit("syntax"))
@@ -124,11 +130,8 @@ def link(observations: DataFrame, repo_id: str, now: str = "") -> tuple[DataFram
     repo_node = repository_id(F.lit(repo_id))
 
     # Nodes: the last observation of an id counts; its parent is that of the last one that names one.
-    last = defs.groupBy("node_id").agg(
-        F.max_by(F.struct("repo_id", "kind", "name", "fqname", "language", "file_path", "span", "signature", "doc", "parser"), "seq").alias("o"),
-        F.max_by("parent", F.when(F.coalesce("parent", F.lit("")) != "", F.col("seq"))).alias("parent"),
-    )
-    last = last.select("node_id", "o.*", "parent")
+    named = F.when(F.coalesce("parent", F.lit("")) != "", F.struct("seq", "parent"))
+    last = last_wins(defs, ["node_id"], ["repo_id", "kind", "name", "fqname", "language", "file_path", "span", "signature", "doc", "parser"], "seq", F.max(named)["parent"].alias("parent"))
     placed = with_parent(last, defs, "parent", "found")
     parent_id = F.when(F.col("kind") == "file", repo_node).when(F.coalesce("parent", F.lit("")) != "", F.col("found"))
     placed = stored(placed.withColumn("parent_id", parent_id))

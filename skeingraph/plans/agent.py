@@ -22,6 +22,12 @@ class Resolved:
     truncated: bool
 
 
+def cut(rows: DataFrame, limit: int) -> tuple[int, bool]:
+    """How many of the rows a limit returns, and whether there are more: at most limit + 1 are read."""
+    n = rows.limit(limit + 1).count()
+    return min(n, limit), n > limit
+
+
 def resolve(nodes: DataFrame, query: str, limit: int = CANDIDATES) -> Resolved:
     """ok with one row, ambiguous with several, or not_found; at most limit + 1 rows are read."""
     rows = sorted(graph.candidates(nodes, query, limit).collect(), key=lambda r: r["place"])
@@ -36,7 +42,7 @@ class Answer:
     files: DataFrame | None = None
 
 
-def ask(nodes: DataFrame, edges: DataFrame, command: str, query: str, fact_limit: int = FACTS, file_limit: int = FILES) -> Answer:
+def ask(nodes: DataFrame, edges: DataFrame | graph.Edges, command: str, query: str, fact_limit: int = FACTS, file_limit: int = FILES) -> Answer:
     """facts has up to fact_limit + 1 rows and files up to file_limit + 1, so that a cut shows; the
     files come from the first fact_limit facts."""
     found = resolve(nodes, query)

@@ -7,7 +7,8 @@ import math
 import time
 from pathlib import Path
 
-from skeingraph.plans.service import Service
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 COMMANDS = ("resolve", "who_calls", "calls", "impact", "read_plan", "pack")
 
@@ -33,7 +34,20 @@ def failures(case: dict, answer: dict) -> list[str]:
     return out + [f"missing fact: {f}" for f in wanted if f not in facts]
 
 
-def run(service: Service, path: Path) -> dict:
+def file_outcomes(cases: DataFrame, have: DataFrame) -> DataFrame:
+    """(id, passed) of cases (id, required_files): whether all required files are among have (file_path).
+    A case that requires none passes."""
+    files = have.select(F.col("file_path").alias("__file"), F.lit(1).alias("__hit")).distinct()
+    wanted = cases.select("id", F.explode_outer(F.array_distinct("required_files")).alias("file"))
+    return wanted.join(files, F.col("file") == F.col("__file"), "left").groupBy("id").agg(F.bool_and(F.col("file").isNull() | F.col("__hit").isNotNull()).alias("passed"))
+
+
+def tally(outcomes: DataFrame) -> DataFrame:
+    """One row (total, passed, failed)."""
+    return outcomes.agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
+
+
+def run(service, path: Path) -> dict:
     suite = json.loads(Path(path).read_text(encoding="utf-8"))
     if suite.get("version") != 1 or not isinstance(suite.get("cases"), list):
         raise ValueError("an evaluation file needs version 1 and a list of cases")

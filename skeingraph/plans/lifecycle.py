@@ -33,8 +33,13 @@ def validate(repo: Path) -> Path:
     return root
 
 
+def by_language(files: DataFrame) -> DataFrame:
+    """(language, n) in order; files of no known language are a row with null."""
+    return files.groupBy("language").agg(F.count("*").alias("n")).orderBy("language")
+
+
 def language_counts(files: DataFrame) -> dict[str, int]:
-    return {r["language"]: r["n"] for r in files.groupBy("language").agg(F.count("*").alias("n")).orderBy("language").collect()}
+    return {r["language"]: r["n"] for r in by_language(files).collect()}
 
 
 def listing(spark: SparkSession, root: Path) -> DataFrame:

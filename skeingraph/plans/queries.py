@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeingraph.functions.columns import dotted_suffixes, percentile_nearest, stable_id
 from skeingraph.operators import diff, graph, link
-from skeingraph.plans import agent, starmap
+from skeingraph.plans import agent, evaluate, lifecycle, starmap
 from skeingraph.plans.starmap import SQL_EDGES, SQL_NODES, sql_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,7 +29,7 @@ def query(sql: str | None):
 
 
 def star(f):
-    """A query over the star graph's stored nodes and edges."""
+    """A query over the star graph's stored nodes and edges (graph.Edges)."""
 
     @wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,10 +45,9 @@ def both(text: str) -> str:
 # ---- identities, nodes, edges
 
 
-@query(f"WITH {SQL_NODES} SELECT node_id, fqname FROM nodes WHERE t IN ('region', 'nation', 'customer')")
+@query(f"WITH {SQL_NODES} SELECT node_id, fqname FROM nodes")
 def stable_node_ids(spark, sf_dir):
-    e = starmap.entities(spark, sf_dir)
-    return e["region"].select("node_id", "fqname").unionAll(e["nation"].select("node_id", "fqname")).unionAll(e["customer"].select("node_id", "fqname"))
+    return reduce(DataFrame.unionAll, (e.select("node_id", "fqname") for e in starmap.entities(spark, sf_dir).values()))
 
 
 @query(f"WITH {SQL_NODES} SELECT node_id, kind, name, fqname, file_path FROM nodes")
@@ -61,15 +60,15 @@ def graph_edges(spark, sf_dir):
     return starmap.edges(spark, sf_dir).select("edge_id", "src_id", "dst_id", "rel_type", "confidence", "frequency")
 
 
-@query(both("SELECT edge_id, frequency, array_to_string(evidence, ',') AS evidence FROM edges WHERE rel_type = 'CALLS'"))
+@query(both("SELECT edge_id, frequency, array_to_string(evidence, ',') AS evidence FROM edges"))
 @star
 def edge_frequency_evidence(nodes, edges):
-    return edges.where("rel_type = 'CALLS'").select("edge_id", "frequency", F.array_join("evidence", ",").alias("evidence"))
+    return graph.one_table(edges).select("edge_id", "frequency", F.array_join("evidence", ",").alias("evidence"))
 
 
 @query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
 def node_last_wins(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))
+    return link.last_wins(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["event_id", "value"], "event_id")
 
 
 # ---- resolution
@@ -244,13 +243,12 @@ ENDS = " SELECT " + FACT_COLUMNS + " FROM e LEFT JOIN nodes s ON s.node_id = src
 IMPACT_SQL = "'CALLS', 'IMPORTS', 'INHERITS'"
 
 
-@query(both(", e AS (SELECT * FROM edges WHERE rel_type = 'INHERITS')" + ENDS))
+@query(both(", e AS (SELECT * FROM edges)" + ENDS))
 @star
 def facts_join(nodes, edges):
-    f = edges.where("rel_type = 'INHERITS'")
-    n = nodes.select("node_id", "fqname")
-    j = f.join(n.select(F.col("node_id").alias("src_id"), F.col("fqname").alias("src")), "src_id", "left").join(n.select(F.col("node_id").alias("dst_id"), F.col("fqname").alias("dst")), "dst_id", "left")
-    return j.select("edge_id", "rel_type", "confidence", "src", "dst", F.array_join(F.slice("evidence", 1, 2), ",").alias("evidence"))
+    """Facts of all edges."""
+    f = graph.facts(graph.with_ends(graph.one_table(edges), nodes, ("node_id", "fqname")))
+    return f.select("edge_id", "rel_type", "confidence", F.col("src.fqname").alias("src"), F.col("dst.fqname").alias("dst"), F.array_join("evidence", ",").alias("evidence"))
 
 
 @query(both(facts_sql(PART_T, "dst_id = id", "'CALLS'") + ENDS))
@@ -310,8 +308,7 @@ def truncation_flags(nodes, edges):
     spark, target = nodes.sparkSession, part_id(nodes)
     rows = []
     for k in (1, 5, 40, 200):
-        n = graph.edges_for_node(edges, target, "in", ["CALLS"], k + 1).count()
-        rows.append((k, min(n, k), n > k))
+        rows.append((k, *agent.cut(graph.incident(edges, [target], "in", ["CALLS"]), k)))
     return spark.createDataFrame(rows, "fact_limit int, returned bigint, truncated boolean")
 
 
@@ -350,12 +347,11 @@ low AS (SELECT min(p) AS p FROM one) SELECT unnest(range(1, len(p) + 1))::INT AS
 def shortest_path(nodes, edges):
     """From an order's customer to one of the order's parts: two hops, by way of an order."""
     order = order_id(nodes)
-    customer = edges.where((F.col("dst_id") == order) & (F.col("rel_type") == "CONTAINS")).first()["src_id"]
-    called = edges.where((F.col("src_id") == order) & (F.col("rel_type") == "CALLS")).select(F.col("dst_id").alias("node_id"))
+    customer = graph.incident(edges, [order], "in", ["CONTAINS"]).first()["src_id"]
+    called = graph.incident(edges, [order], "out", ["CALLS"]).select(F.col("dst_id").alias("node_id"))
     low = nodes.join(F.broadcast(called), "node_id").agg(F.min("fqname")).first()[0]
-    found = [graph.shortest_path(edges, customer, r["node_id"], 3) for r in nodes.where(F.col("fqname") == low).select("node_id").collect()]
-    best = min((f["edges"] for f in found if f["found"] and len(f["edges"]) == 2))
-    return nodes.sparkSession.createDataFrame(list(enumerate(best, 1)), "step int, edge_id string")
+    found = graph.path_to_any(edges, customer, [r["node_id"] for r in nodes.where(F.col("fqname") == low).select("node_id").collect()], 3)
+    return nodes.sparkSession.createDataFrame(list(enumerate(found["edges"], 1)), "step int, edge_id string")
 
 
 # ---- lifecycle
@@ -413,8 +409,7 @@ def history_events(spark, sf_dir):
 @query(SQL_VERSIONS + " SELECT count(*) FILTER (op = 'create') AS created, count(*) FILTER (op IN ('update', 'restore')) AS updated, count(*) FILTER (op = 'delete') AS deleted FROM d")
 def commit_stats(spark, sf_dir):
     old, new = order_versions(spark, sf_dir)
-    op = F.col("op")
-    return diff.graph_diff(new, old, "id").agg(F.count_if(op == "create").alias("created"), F.count_if(op.isin("update", "restore")).alias("updated"), F.count_if(op == "delete").alias("deleted"))
+    return diff.stats(diff.graph_diff(new, old, "id"))
 
 
 @query(
@@ -429,7 +424,7 @@ def error_preserve(spark, sf_dir):
 
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
 def language_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang")
+    return lifecycle.by_language(table(spark, sf_dir, "documents").select(F.col("lang").alias("language"))).withColumnRenamed("language", "lang")
 
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
@@ -437,16 +432,15 @@ def latency_percentiles(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(percentile_nearest("value", 50).alias("p50"), percentile_nearest("value", 95).alias("p95"))
 
 
-@query(both(f""", {ORDER_T}, want AS (SELECT DISTINCT p_partkey AS k, 'parts/' || p_partkey AS path FROM part WHERE p_partkey <= 20),
+@query(both(f""", {ORDER_T}, want AS (SELECT DISTINCT p_partkey AS k, 'parts/' || p_partkey AS path FROM part),
 have AS (SELECT DISTINCT d.file_path FROM edges JOIN t ON src_id = id AND rel_type = 'CALLS' JOIN nodes d ON d.node_id = dst_id)
 SELECT count(*) AS total, count(*) FILTER (path IN (SELECT file_path FROM have)) AS passed, count(*) FILTER (path NOT IN (SELECT file_path FROM have)) AS failed FROM want"""))
 @star
 def eval_cases(nodes, edges):
-    """Cases that each require a file among the callees of an order."""
-    have = nodes.join(F.broadcast(graph.edges_for_node(edges, order_id(nodes), "out", ["CALLS"], 1000).select(F.col("dst_id").alias("node_id"))), "node_id").select("file_path").distinct()
-    want = nodes.where("kind = 'function'").select("file_path").where(F.regexp_extract("file_path", r"(\d+)$", 1).try_cast("int") <= 20)
-    j = want.join(have.withColumn("hit", F.lit(True)), "file_path", "left")
-    return j.agg(F.count("*").alias("total"), F.count_if(F.col("hit").isNotNull()).alias("passed"), F.count_if(F.col("hit").isNull()).alias("failed"))
+    """A case for each part, which requires the part's file among the callees of an order."""
+    have = nodes.join(F.broadcast(graph.edges_for_node(edges, order_id(nodes), "out", ["CALLS"], 1000).select(F.col("dst_id").alias("node_id"))), "node_id").select("file_path")
+    cases = nodes.where("kind = 'function'").select(F.col("node_id").alias("id"), F.array("file_path").alias("required_files"))
+    return evaluate.tally(evaluate.file_outcomes(cases, have))
 
 
 @query("SELECT l_orderkey || '-' || l_linenumber AS edge_id, CASE WHEN l_discount < 0.03 THEN 'MAY_CALL' ELSE 'CALLS' END AS rel_type, CASE WHEN l_discount < 0.03 THEN least(l_discount * 20 + 0.05, 0.49) ELSE 0.85 END AS confidence FROM lineitem")
@@ -456,10 +450,10 @@ def confidence_downgrade(spark, sf_dir):
     return link.downgraded(e)
 
 
-@query(both("SELECT edge_id, CASE WHEN frequency > 1 THEN 'superseded' ELSE 'active' END AS status, CASE WHEN frequency > 1 THEN 1.0 END::DOUBLE AS revision, CASE WHEN frequency > 1 THEN 'again' END AS noted FROM edges WHERE rel_type = 'CALLS'"))
+@query(both("SELECT edge_id, CASE WHEN frequency > 1 THEN 'superseded' ELSE 'active' END AS status, CASE WHEN frequency > 1 THEN 1.0 END::DOUBLE AS revision, CASE WHEN frequency > 1 THEN 'again' END AS noted FROM edges"))
 @star
 def edge_supersede(nodes, edges):
-    e = edges.where("rel_type = 'CALLS'").withColumns({"evidence": F.transform("evidence", lambda x: F.struct(F.lit("line").alias("type"), F.create_map(F.lit("line"), x).alias("data"))), "score_breakdown": F.create_map(F.lit("syntax"), F.lit(1.0))})
+    e = graph.one_table(edges).withColumns({"evidence": F.transform("evidence", lambda x: F.struct(F.lit("line").alias("type"), F.create_map(F.lit("line"), x).alias("data"))), "score_breakdown": F.create_map(F.lit("syntax"), F.lit(1.0))})
     s = link.superseded(e, e.where("frequency > 1").select("edge_id", F.lit("again").alias("reason")))
     return s.select("edge_id", "status", F.col("score_breakdown")["revision"].alias("revision"), F.element_at("evidence", -1)["data"]["revision_reason"].alias("noted"))
 
@@ -472,6 +466,5 @@ def html_import_extract(spark, sf_dir):
 @query("SELECT change, count(*) AS n FROM (SELECT CASE WHEN a.k IS NULL THEN 'added' ELSE 'deleted' END AS change FROM (SELECT o_custkey AS k FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1) b USING (k) WHERE a.k IS NULL OR b.k IS NULL) GROUP BY 1")
 def set_differences(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    a, b = (o.where(F.col("o_orderkey") % 2 == r).select("o_custkey").distinct() for r in (0, 1))
-    added, deleted = b.join(a, "o_custkey", "left_anti"), a.join(b, "o_custkey", "left_anti")
-    return added.select(F.lit("added").alias("change")).unionAll(deleted.select(F.lit("deleted").alias("change"))).groupBy("change").agg(F.count("*").alias("n"))
+    a, b = (o.where(F.col("o_orderkey") % 2 == r).select(F.col("o_custkey").cast("string").alias("file_path")).distinct().withColumns({"size": F.lit(0), "mtime_ns": F.lit(0)}) for r in (0, 1))
+    return diff.fingerprint_diff(b, a).where("change <> 'same'").groupBy("change").agg(F.count("*").alias("n"))

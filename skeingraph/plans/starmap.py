@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeingraph.functions.columns import stable_id
-from skeingraph.runtime import delete_at_exit, shared_dir
+from skeingraph.operators.graph import Edges, clustered
+from skeingraph.runtime import delete_at_exit, shared_dir, stored
 
 REPO = "star"
 
@@ -81,19 +82,31 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 _snapshots: dict[tuple, str] = {}
 
 
-def snapshot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def file_states(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """(name, length, modification time) of the files at or below a path. Object stores have no times
+    of folders, but of files."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, out = target.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(target, True), []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def snapshot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Edges]:
     """(nodes, edges) as stored tables, as an index keeps them: built once for each state of the
-    source tables (their modification times) and read again by later queries of the application."""
-    path = lambda n: spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{n}.parquet")
-    times = tuple(p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime() for p in map(path, TABLES))
-    key = (spark.sparkContext.applicationId, sf_dir, times)
+    source tables' files and read again by later queries of the application."""
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(file_states(spark, f"{sf_dir}/{n}.parquet") for n in TABLES))
     if key not in _snapshots:
         base = os.path.join(shared_dir(spark), f"star-{uuid.uuid4().hex}")
-        nodes(spark, sf_dir).write.parquet(f"{base}/nodes")
-        edges(spark, sf_dir).write.parquet(f"{base}/edges")
+        clustered(nodes(spark, sf_dir), "fqname").write.parquet(f"{base}/nodes")
+        rows = stored(edges(spark, sf_dir))  # ranges are found by reading their rows twice
+        clustered(rows, "src_id").write.parquet(f"{base}/by_src")
+        clustered(rows, "dst_id").write.parquet(f"{base}/by_dst")
         delete_at_exit(spark, base)
         _snapshots[key] = base
-    return spark.read.parquet(f"{_snapshots[key]}/nodes"), spark.read.parquet(f"{_snapshots[key]}/edges")
+    read = lambda n: spark.read.parquet(f"{_snapshots[key]}/{n}")
+    return read("nodes"), Edges(read("by_src"), read("by_dst"))
 
 
 def sql_id(prefix: str, *parts: str, length: int = 12) -> str:

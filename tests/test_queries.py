@@ -36,3 +36,39 @@ def test_walks(spark):
         graph.edges_for_node(edges, "a", "sideways")
     with pytest.raises(ValueError):
         graph.find_nodes(nodes, "a", "guess")
+
+
+def test_maps_are_compared_by_their_entries(spark):
+    from skeingraph.operators import diff
+
+    schema = "id string, status string, m map<string,double>, e array<struct<t:string,data:map<string,string>>>"
+    old = spark.createDataFrame([("a", "active", {"x": 1.0, "y": 2.0}, [("t", {"k": "1", "l": None})]), ("b", "active", None, None), ("c", "active", {"x": 1.0}, [(None, None)])], schema)
+    new = spark.createDataFrame([("a", "active", {"y": 2.0, "x": 1.0}, [("t", {"l": None, "k": "1"})]), ("b", "active", None, None), ("c", "active", {"x": 1.0}, [(None, {})])], schema)
+    assert {r["__k"]: r["op"] for r in diff.graph_diff(new, old, "id").collect()} == {"a": None, "b": None, "c": "update"}
+
+
+def test_paths_to_several_targets(spark):
+    import random
+
+    rng = random.Random(7)
+    pairs = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(70)})
+    rows = [(f"e{rng.randrange(10**6):06}", f"n{a}", f"n{b}", "CALLS", "active") for a, b in pairs]
+    edges = spark.createDataFrame(rows, "edge_id string, src_id string, dst_id string, rel_type string, status string")
+
+    def brute(src, targets, most):
+        paths = [((), src)]
+        for _ in range(most):
+            paths = [((*p, e), d) for p, at in paths for e, s, d, _, _ in rows if s == at]
+            hits = [list(p) for p, at in paths if at in targets]
+            if hits:
+                return min(hits)
+        return []
+
+    found = 0
+    for k in range(6):
+        src, targets = f"n{rng.randrange(40)}", [f"n{x}" for x in rng.sample(range(40), 1 + k % 3)]
+        src = targets[0] if k == 5 else src
+        want = brute(src, targets, 4)
+        found += bool(want)
+        assert graph.path_to_any(graph.Edges(edges, edges) if k % 2 else edges, src, targets, 4)["edges"] == want
+    assert found > 2
