@@ -7,11 +7,19 @@ Runs start from different places. The number of runs, of a node's draws and of p
 the threshold, so that a pair at the threshold is found with the target recall even if its buckets
 split as often as `DEPTH` allows (`missed`: nodes draw from the same places, which is counted in). Sets that are alone
 leave at once; buckets up to `LIMIT` sets are compared by brute force; larger ones split again,
-unless a child is hardly smaller than its parent: those sets are alike, and are compared by brute
-force too. Brute force goes in pairs of blocks of bounded size, spread over tasks, and in two steps:
-sets without a partner whose signature agrees in enough places leave (a pair at the threshold fails
-this in a tenth of the target's misses at most), the others are compared on their whole shingle sets. All
-similarities are exact.
+unless a child is hardly smaller than its parent: those sets are alike. Brute force goes in pairs of
+blocks of bounded size, spread over tasks, and in two steps: sets without a partner whose signature
+agrees in enough places leave (a pair at the threshold fails this in a tenth of the target's misses
+at most), the others are compared on their whole shingle sets. All similarities are exact.
+
+Large alike buckets hold families that share a template. Splitting on shared tokens ends there,
+because most shared tokens are the template's; so it goes on with the others (`families`). A shingle
+of more than `LIMIT` of these sets is common, the rest are rare. With c common ones among n, two
+sets without a common rare shingle can only link if the sum of (1 + t) c - 2 t n is not negative.
+Sets below 0 ("low") are therefore never compared with each other in a large bucket: those that
+share a rare shingle meet in its list, a bucket of `LIMIT` sets at most (equal lists are one), and
+nothing is lost. A family under the threshold costs in proportion to its size; what stays quadratic
+are sets of which 2 t / (1 + t) or more is template, and those link to one another.
 
 Copies (equal shingle sets) are joined as one set. Links are never written out pair by pair: each
 set carries the ids of its leaves, so that a pair counts only in the first leaf that it shares, and
@@ -20,7 +28,7 @@ tasks return counts and a spanning edge for each set.
 Defined results: a text without words (null and empty too) links with nothing and is a class of its
 own; one of fewer than five words has one shingle; repeated rows are copies; null ids are kept and
 are a value like any other; empty tables give empty tables; only the named columns are read, and
-`keep_one` hands on all columns.
+`keep_one` hands on all columns: repeated rows count as one, but texts without words all stay.
 """
 
 from __future__ import annotations
@@ -48,6 +56,8 @@ LIMIT = 1024
 #: A block has about so many sets, or shingles, at most.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 DEPTH = 6
+SALTS = 32
+BATCH_BYTES = 32 << 20
 #: Ids up to this number are broadcast (some 10 MB); more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 SEED = 5
@@ -216,9 +226,10 @@ def compare(group: list[dict], threshold: float) -> list[tuple[str, int, str]]:
         np.fill_diagonal(near, False)
     if not near.any():
         return []
-    before = [np.array([x for x in r["nodes"] if x < node], np.int64) for r in left]
-    after = before if left is right else [np.array([x for x in r["nodes"] if x < node], np.int64) for r in right]
-    counted = near & (intersections(before, after) == 0)
+    below = lambda side, name: [np.array([x for x in r[name] if x < node], np.int64) for r in side]
+    shared = lambda name: intersections(x := below(left, name), x if left is right else below(right, name))
+    # Buckets where both sets are low don't count as shared: they aren't compared there.
+    counted = near & (shared("nodes") - shared("apart") == 0)
     rows = left if left is right else left + right
     links = counted.sum(axis=1) if left is right else np.concatenate([counted.sum(axis=1), counted.sum(axis=0)])
     linked = near.any(axis=1) if left is right else np.concatenate([near.any(axis=1), near.any(axis=0)])
@@ -239,14 +250,15 @@ def compare(group: list[dict], threshold: float) -> list[tuple[str, int, str]]:
 
 
 def blocks(size: int, shingles: int) -> int:
-    """How many blocks a bucket is split into."""
-    return max(1, -(-size // BLOCK), -(-shingles // BLOCK_SHINGLES))
+    """How many blocks so many sets are split into."""
+    return max(size > 0, -(-size // BLOCK), -(-shingles // BLOCK_SHINGLES))
 
 
-def spread(key: str, n: int) -> list[tuple[int, int, int]]:
-    """(left, right, own block) of the tasks that a set takes part in, if its bucket has n blocks."""
-    own = int(key[:12], 16) % n
-    return [(min(own, other), max(own, other), own) for other in range(n)]
+def spread(key: str, high: int, low: int, is_low: bool) -> list[tuple[int, int, int]]:
+    """(left, right, own block) of the tasks that a set takes part in: blocks of low sets come after
+    the others, and meet those only."""
+    own = high + int(key[:12], 16) % low if is_low else int(key[:12], 16) % high
+    return [(min(own, other), max(own, other), own) for other in range(high if is_low else high + low)]
 
 
 def by_task(rows: DataFrame, schema: T.StructType, work: Callable[[list[dict]], list[tuple]]) -> DataFrame:
@@ -291,41 +303,111 @@ def few(ids: DataFrame) -> DataFrame:
 TASK = (("node", T.LongType()), ("left", T.LongType()), ("right", T.LongType()), ("block", T.LongType()), ("set_id", T.StringType()))
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The texts of (stored) rows with rep_id and rep_th, besides these rows' other columns."""
+    texts = columns_of(docs, id_col, text_col).toDF("id", "text")
+    same = F.col("id").eqNullSafe(F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_th"))
+    return texts.join(few(wanted.select("rep_id", "rep_th")), same, "left_semi").join(wanted, same).drop("id", "rep_id", "rep_th")
+
+
+def reps(sets: DataFrame) -> DataFrame:
+    return sets.select("set_id", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
+
+
+def families(large: DataFrame, sets: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """Members (set_id, node, low, h, l) of the large buckets that have to be compared there, and of
+    the buckets of rare shingles. Counts are aggregated before they are shuffled; a common shingle's
+    sets are never gathered, a rare one's list has `LIMIT` sets at most."""
+    wanted = stored(reps(sets).join(large.select("set_id").distinct(), "set_id"))
+    schema = T.StructType([T.StructField("set_id", T.StringType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+
+    def start():
+        seen: set[str] = set()  # repeated rows come once from each task
+
+        def run(ids, texts):
+            new = [(i, t) for i, t in zip(ids, texts, strict=True) if not (i in seen or seen.add(i))]
+            return [i for i, _ in new], [np.unique(shingle_hashes(words_of(t))).view(np.int64).tolist() for _, t in new]
+
+        return run
+
+    whole = stored(map_columns(texts_of(docs, wanted, id_col, text_col).select("set_id", "text"), schema, start, rows=64))
+    each = whole.select("set_id", F.explode("shingles").alias("s"))
+    common = stored(each.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > LIMIT).select("s"))
+    if common.count() <= BROADCAST_ROWS:
+        marked = each.join(F.broadcast(common.withColumn("common", F.lit(1))), "s", "left")
+    else:  # a common shingle has many rows: it is dealt to several tasks
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        marked = each.withColumn("salt", F.pmod(F.xxhash64("set_id"), F.lit(SALTS)).cast("int")).join(common.select("s", F.lit(1).alias("common"), salts.alias("salt")), ["s", "salt"], "left").drop("salt")
+    counts = marked.groupBy("set_id").agg(F.count("common").alias("c"), F.count("*").alias("n"))
+    low = stored(counts.select("set_id", ((1 + threshold) * F.col("c") - 2 * threshold * F.col("n") < -1e-6).alias("low")))
+    inside = large.select("set_id", "node").join(low, "set_id")
+    sizes = inside.groupBy("node").agg(F.count_if(~F.col("low")).alias("h"), F.count_if("low").alias("l")).where("h > 0")
+    kept = inside.join(sizes, "node").select("set_id", "node", "low", "h", "l")
+    own = marked.where("common IS NULL").join(low.where("low").select("set_id"), "set_id", "left_semi")
+    lists = own.groupBy("s").agg(F.sort_array(F.collect_set("set_id")).alias("members")).where(F.size("members") > 1).select("members").distinct()
+    rare = lists.select(F.explode("members").alias("set_id"), F.xxhash64(F.lit("rare"), "members").alias("node"), F.lit(False).alias("low"), F.size("members").cast("long").alias("h"), F.lit(0).cast("long").alias("l"))
+    return stored(kept.unionAll(rare))
+
+
 def linked(docs: DataFrame, sets: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """(set_id, n_links, buddy) partial results; shingles are made anew for the sets that pass the screen only."""
     by = plan(threshold)
-    first = leaves(sets, by).join(sets.select("set_id", "sig"), "set_id").select("node", "size", "set_id", "sig")
-
-    def dealt():
-        def run(nodes, sizes, set_ids, sigs):
-            out = [(node, *task, key, sig) for node, size, key, sig in zip(nodes, sizes, set_ids, sigs, strict=True) for task in spread(key, blocks(size, 0))]
+    tree = leaves(sets, by)
+    members = tree.where(F.col("size") <= LIMIT).select("set_id", "node", F.lit(False).alias("low"), F.col("size").alias("h"), F.lit(0).cast("long").alias("l"))
+    large = tree.where(F.col("size") > LIMIT)
+    if not large.isEmpty():
+        members = stored(members.unionAll(families(large, sets, docs, threshold, id_col, text_col)))
+    first = members.join(sets.select("set_id", "sig"), "set_id").select("node", "h", "l", "low", "set_id", "sig")
+
+    def deal():
+        def run(nodes, hs, ls, lows, set_ids, sigs):
+            out = [(node, *task, key, sig) for node, h, l, low, key, sig in zip(nodes, hs, ls, lows, set_ids, sigs, strict=True) for task in spread(key, blocks(h, 0), blocks(l, 0), low)]
             return tuple(map(list, zip(*out, strict=True))) if out else ([],) * 6
 
         return run
 
-    tasks = map_columns(first, T.StructType([*(T.StructField(*x) for x in TASK), T.StructField("sig", T.ArrayType(T.LongType()))]), dealt)
+    tasks = map_columns(first, T.StructType([*(T.StructField(*x) for x in TASK), T.StructField("sig", T.ArrayType(T.LongType()))]), deal)
     passed = stored(by_task(tasks, T.StructType([T.StructField("node", T.LongType()), T.StructField("set_id", T.StringType())]), lambda group: screen(group, by.agree)).distinct())
-    sizes = passed.join(sets.select("set_id", "n"), "set_id").groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
-    nodes = passed.join(sizes, "node").groupBy("set_id").agg(F.collect_list(F.struct("node", "size", "total")).alias("nodes"))
-    active = stored(nodes.join(sets.select("set_id", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th")), "set_id"))
-    texts = columns_of(docs, id_col, text_col).toDF("id", "text")
-    ids = active.select("rep_id", "rep_th")
-    texts = texts.join(few(ids), F.col("id").eqNullSafe(F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_th")), "left_semi")
-    texts = texts.join(active, F.col("id").eqNullSafe(F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_th"))).select("set_id", "nodes", "text")
-
-    def sent():
-        def run(set_ids, node_lists, texts):
-            out = []
-            for key, nodes, text in zip(set_ids, node_lists, texts, strict=True):
-                data, ids = np.unique(shingle_hashes(words_of(text))).tobytes(), sorted(x["node"] for x in nodes)
-                out.extend((x["node"], *task, key, ids, data) for x in nodes for task in spread(key, blocks(x["size"], x["total"])))
-            return tuple(map(list, zip(*out, strict=True))) if out else ([],) * 7
+    passed = stored(passed.join(members.select("node", "set_id", "low"), ["node", "set_id"]).join(sets.select("set_id", "n"), "set_id"))
+    high, low = ~F.col("low"), F.col("low")
+    sizes = passed.groupBy("node").agg(F.count_if(high).alias("h"), F.count_if(low).alias("l"), F.coalesce(F.sum(F.when(high, F.col("n"))), F.lit(0)).alias("ht"), F.coalesce(F.sum(F.when(low, F.col("n"))), F.lit(0)).alias("lt"))
+    nodes = passed.drop("n").join(sizes, "node").groupBy("set_id").agg(F.collect_list(F.struct("node", "low", "h", "l", "ht", "lt")).alias("nodes"))
+    active = stored(nodes.join(reps(sets), "set_id"))
+    texts = texts_of(docs, active, id_col, text_col).select("set_id", "nodes", "text")
+    result = T.StructType([T.StructField("set_id", T.StringType()), T.StructField("n_links", T.LongType()), T.StructField("buddy", T.StringType())])
+    return by_task(sent(texts), result, lambda group: compare(group, threshold))
 
-        return run
 
-    tasks = map_columns(texts, T.StructType([*(T.StructField(*x) for x in TASK), T.StructField("nodes", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType())]), sent, rows=16)
-    result = T.StructType([T.StructField("set_id", T.StringType()), T.StructField("n_links", T.LongType()), T.StructField("buddy", T.StringType())])
-    return by_task(tasks, result, lambda group: compare(group, threshold))
+def sent(texts: DataFrame) -> DataFrame:
+    """A row with the set's shingles for each task it takes part in, in batches of bounded bytes."""
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([*(T.StructField(*x) for x in TASK), T.StructField("nodes", longs), T.StructField("apart", longs), T.StructField("shingles", T.BinaryType())])
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        out: list[tuple] = []
+        size, seen = 0, set()  # repeated rows come once from each task
+        for key, nodes, text in (row for b in batches for lo in range(0, b.num_rows, 64) for row in zip(*(c.to_pylist() for c in b.slice(lo, 64).columns), strict=True)):
+            if key in seen:
+                continue
+            seen.add(key)
+            data = np.unique(shingle_hashes(words_of(text))).tobytes()
+            ids, apart = sorted(x["node"] for x in nodes), sorted(x["node"] for x in nodes if x["low"])
+            for x in nodes:
+                for task in spread(key, blocks(x["h"], x["ht"]), blocks(x["l"], x["lt"]), x["low"]):
+                    out.append((x["node"], *task, key, ids, apart, data))
+                    size += len(data) + 8 * len(ids)
+                    if size > BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+                        out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    return texts.mapInArrow(run, schema)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -364,7 +446,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     joined = rows.where("n > 0").select("id", "th", "set_id").join(sets.select("set_id", "first"), "set_id")
     gone = stored(joined.where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")))).select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th")).distinct())
     kept = docs.join(few(gone), docs[id_col].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs[text_col]) == gone["gone_th"]), "left_anti")
-    again = rows.where("n > 0").groupBy("id", "th").count().where("count > 1")
-    if again.join(gone, again["id"].eqNullSafe(gone["gone_id"]) & (again["th"] == gone["gone_th"]), "left_anti").isEmpty():
+    again = stored(rows.where("n > 0").groupBy("id", "th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("again_id"), F.col("th").alias("again_th")))
+    if again.isEmpty():
         return kept
-    return kept.where(F.length(text_col) > 0).dropDuplicates([id_col, text_col]).unionAll(kept.where(F.coalesce(F.length(text_col), F.lit(0)) == 0))
+    repeated = docs[id_col].eqNullSafe(again["again_id"]) & (F.xxhash64(docs[text_col]) == again["again_th"])
+    return kept.join(few(again), repeated, "left_anti").unionAll(kept.join(few(again), repeated, "left_semi").dropDuplicates([id_col, text_col]))

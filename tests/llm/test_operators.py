@@ -303,6 +303,76 @@ def test_jaccard_join_at_a_lower_threshold(spark):
     assert got == 2 * want and want > 100
 
 
+def template_family(rng, n, shared=300, own=50, word=None):
+    """Texts that share a template: any two have a similarity of shared / (shared + 2 own)."""
+    word = word or (lambda: "".join(rng.choices("abcdefghijklmnop", k=6)))
+    base = [word() for _ in range(shared + 4)]
+    return [" ".join(base + [word() for _ in range(own)]) for _ in range(n)]
+
+
+def test_jaccard_join_of_families_under_the_threshold(spark, monkeypatch):
+    """A family at 0.75 with pairs of near copies, and of sets that are mostly template, in buckets that don't split."""
+    monkeypatch.setattr(chosen_path, "LIMIT", 40)
+    monkeypatch.setattr(chosen_path, "BLOCK", 32)
+    rng = random.Random(31)
+    texts = template_family(rng, 150)
+    base = texts[0].split()[:304]
+    for t in texts[:30]:  # near copies of members: they share rare shingles
+        w = t.split()
+        w[-rng.randrange(1, 20)] = "changed"
+        texts.append(" ".join(w))
+    texts += [" ".join(base + [f"x{k}y{j}" for j in range(rng.randrange(0, 50))]) for k in range(60)]  # from all template to under the limit
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["copy_id"], r["class_id"], r["n_links"]) for r in chosen_path.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = joined(rows)
+    assert got == want and len({n for *_, n in want.values()}) > 10
+
+
+def test_jaccard_work_on_a_family_grows_in_proportion(spark, monkeypatch):
+    """Rows sent to brute force for a family at 0.75, four times as large."""
+    monkeypatch.setattr(chosen_path, "LIMIT", 64)
+    sent, count = [], chosen_path.by_task
+
+    def counting(rows, schema, work):
+        sent[-1] += rows.count()
+        return count(rows, schema, work)
+
+    monkeypatch.setattr(chosen_path, "by_task", counting)
+    for n in (300, 1200):
+        sent.append(0)
+        frame = spark.createDataFrame(enumerate(template_family(random.Random(n), n, 60, 10)), "doc_id bigint, text string")
+        assert chosen_path.join(frame).where("n_links > 0").count() == 0
+    assert sent[1] <= 5 * sent[0] + 1200
+
+
+@pytest.mark.parametrize("threshold", (0.4, 0.6, 0.8))
+def test_recall_of_the_jaccard_join(spark, threshold):
+    rng = random.Random(round(threshold * 10))
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts = []
+    for _ in range(300):  # pairs of 100 shingles with similarities from the threshold up
+        w = [word() for _ in range(104)]
+        keep = rng.randrange(int(200 * threshold / (1 + threshold)) + 4, 104)
+        texts += [" ".join(w), " ".join(w[:keep] + [word() for _ in range(104 - keep)])]
+    rows = list(enumerate(texts))
+    want = sum(n for *_, n in joined_pairs(rows, threshold))
+    got = chosen_path.join(spark.createDataFrame(rows, "doc_id bigint, text string"), threshold=threshold).agg(F.sum("n_links")).first()[0]
+    assert want > 500 and 0.99 * want <= got <= want
+
+
+def joined_pairs(rows, threshold):
+    sets = [frozenset(shingle_hashes(words_of(t)).tolist()) for _, t in rows]
+    for i in range(0, len(sets), 2):
+        a, b = sets[i : i + 2]
+        yield i, i + 1, 2 * (len(a & b) >= threshold * len(a | b) - 1e-9)
+
+
+def test_keep_one_keeps_all_texts_without_words(spark):
+    for rows in ([(1, "..."), (1, "..."), (2, "")], [(1, "..."), (1, "..."), (2, ""), (3, "a b c"), (3, "a b c"), (4, "a b c"), (5, None), (5, None)]):
+        kept = sorted((r["doc_id"] for r in chosen_path.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()))
+        assert kept == [1, 1, 2, 3, 5, 5][: 3 if len(rows) == 3 else 6]
+
+
 def test_recall_of_split_buckets():
     for threshold in (0.9, 0.8, 0.7, 0.5):
         p = chosen_path.plan(threshold)
