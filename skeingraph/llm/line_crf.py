@@ -3,8 +3,14 @@ boilerplate, Viterbi decoding finds the best sequence, and a document stays if e
 characters are content. Plain base rules (too few words, too many repeated words) come before.
 
 The weights are fitted on a bounded sample of labelled documents (`per_class` of each quality
-label, chosen by a hash of the id, held-out ids left out): every line of a document has the label
-of its document. Forward-backward gradients on the driver; scoring is one pass over whole texts.
+label, chosen by a hash of the id, held-out ids left out), from labels of lines: those of a document
+begin with its label, but lines that repeat an earlier one, are full of symbols or state a licence
+are boilerplate in any document. Then lines are latent: in each of `ROUNDS` rounds those that the
+weights clearly put on the other side change it, the surest first, as long as more than half of the
+document's characters keep the document's label. The field learns from spliced sequences: two
+documents of different labels are cut into runs of lines, `RUN` on average, that take turns; so the
+transitions stand for runs of lines and not for whole documents. Gradients are summed by
+forward-backward over all sequences at once; scoring is one pass over whole texts.
 
 Defined results: null and empty texts have no words, fail the base rules and are not kept; without
 labelled rows of both classes every line counts as content; lines without a word have no label and
@@ -29,6 +35,10 @@ find_words = re.compile(r"[^\x20\x09-\x0D]+").findall
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 FEATURES = 15
+#: Columns of the features that mark boilerplate lines in any document.
+SYMBOLS, AGAIN, LICENCE = 2, 12, 13
+#: Average run of lines in spliced sequences; rounds of latent labels; the score from which a line is clearly of a label.
+RUN, ROUNDS, CLEAR = 2.0, 2, 2.0
 
 
 def words_of(text: str) -> list[str]:
@@ -100,40 +110,103 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return rows * np.clip(np.sqrt(n / 12), 0.7, 3)[:, None], size
 
 
+def batched(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many sequences (sorted by length, longest first) reach each place, and where each begins
+    among all lines, which stand one sequence after the other."""
+    return np.array([(lengths > t).sum() for t in range(int(lengths.max(initial=0)))], int), np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(int)
+
+
+def marginals_of(scores: np.ndarray, move: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of the labels of all lines, expected transitions over all sequences, and the log of
+    each sequence's partition function; place by place over all sequences that reach it."""
+    active, start = batched(lengths)
+    a, b = scores.copy(), np.zeros_like(scores)
+    for t in range(1, len(active)):
+        at = start[: active[t]] + t
+        before = a[at - 1]
+        a[at] = scores[at] + np.logaddexp(before[:, :1] + move[0], before[:, 1:] + move[1])
+    for t in range(len(active) - 2, -1, -1):
+        at = start[: active[t + 1]] + t
+        after = scores[at + 1] + b[at + 1]
+        b[at] = np.logaddexp(move[:, 0] + after[:, :1], move[:, 1] + after[:, 1:])
+    z = np.logaddexp(*a[start + lengths - 1].T)
+    each = np.repeat(z, lengths)
+    follows = np.ones(len(scores), bool)
+    follows[start] = False
+    at = np.flatnonzero(follows)
+    pairs = np.exp(a[at - 1][:, :, None] + move + (scores[at] + b[at])[:, None, :] - each[at][:, None, None]).sum(0)
+    return np.exp(a + b - each[:, None]), pairs, z
+
+
 def forward_backward(scores: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Marginals of the labels, expected transitions and the log of the partition function."""
-    n = len(scores)
-    a, b = np.empty((n, 2)), np.zeros((n, 2))
-    a[0] = scores[0]
-    for i in range(1, n):
-        a[i] = scores[i] + np.logaddexp(a[i - 1, 0] + move[0], a[i - 1, 1] + move[1])
-    for i in range(n - 2, -1, -1):
-        s = scores[i + 1] + b[i + 1]
-        b[i] = np.logaddexp(move[:, 0] + s[0], move[:, 1] + s[1])
-    z = np.logaddexp(*a[-1])
-    pairs = np.exp(a[:-1, :, None] + move + (scores[1:] + b[1:])[:, None, :] - z).sum(0) if n > 1 else np.zeros((2, 2))
-    return np.exp(a + b - z), pairs, z
-
-
-def fit_weights(sample: list[tuple[str, int]], rounds: int = 50, rate: float = 0.5, l2: float = 1e-3) -> dict | None:
-    """Weights of the content label against boilerplate, and of transitions, by gradient ascent
-    with a step for each weight (Adagrad). None if a class is missing."""
-    rows = [(line_features(t)[0], q) for t, q in sample]
-    rows = [(x, q) for x, q in rows if len(x)]
-    if len({q for _, q in rows}) < 2:
-        return None
+    """The same for one sequence."""
+    marginals, pairs, z = marginals_of(scores, move, np.array([len(scores)]))
+    return marginals, pairs, float(z[0])
+
+
+def maximise(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 60, rate: float = 0.5, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the content label against boilerplate, and of transitions, for sequences (features,
+    labels), by gradient ascent with a step for each weight (Adagrad)."""
+    sequences = sorted(sequences, key=lambda s: -len(s[0]))
+    lengths = np.array([len(x) for x, _ in sequences])
+    x, y = (np.concatenate(part) for part in zip(*sequences, strict=True))
+    first = np.zeros(len(y), bool)
+    first[batched(lengths)[1]] = True
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (y[:-1][~first[1:]], y[1:][~first[1:]]), 1)
     w, move = np.zeros(FEATURES), np.zeros((2, 2))
     gw, gm = np.full(FEATURES, 1e-6), np.full((2, 2), 1e-6)
-    for _ in range(rounds):
-        dw, dm, lines = -l2 * w, -l2 * move, sum(len(x) for x, _ in rows)
-        for x, q in rows:
-            marginals, pairs, _ = forward_backward(np.column_stack([np.zeros(len(x)), x @ w]), move)
-            dw = dw + x.T @ (q - marginals[:, 1]) / lines
-            seen = np.zeros((2, 2))
-            seen[q, q] = len(x) - 1
-            dm = dm + (seen - pairs) / lines
+    for _ in range(steps):
+        marginals, pairs, _ = marginals_of(np.column_stack([np.zeros(len(x)), x @ w]), move, lengths)
+        dw, dm = x.T @ (y - marginals[:, 1]) / len(y) - l2 * w, (seen - pairs) / len(y) - l2 * move
         gw, gm = gw + dw**2, gm + dm**2
         w, move = w + rate * dw / np.sqrt(gw), move + rate * dm / np.sqrt(gm)
+    return w, move
+
+
+def latent(scores: np.ndarray, size: np.ndarray, fixed: np.ndarray, label: int) -> np.ndarray:
+    """Labels of a document's lines: the document's, except for the fixed ones (boilerplate) and those
+    whose score is clearly against it, the surest first, while less than half of the characters leave."""
+    y = np.where(fixed, 0, label)
+    left = 0.5 * size.sum() - (size[y != label].sum())
+    against = -scores if label else scores
+    for i in np.argsort(-against, kind="stable"):
+        if against[i] < CLEAR or left <= size[i]:
+            break
+        if y[i] == label:
+            y[i], left = 1 - label, left - size[i]
+    return y
+
+
+def spliced(docs: list[tuple[np.ndarray, np.ndarray, int]], rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sequences of runs of lines from two documents (features, line labels, document's label) of
+    different labels in turn; every line of the larger class comes once, the smaller class repeats."""
+    sides = [[d for d in docs if d[2] == label] for label in (0, 1)]
+    out = []
+    for k in range(max(map(len, sides))):
+        pair = [side[k % len(side)] for side in sides]
+        at, turn, x, y = [0, 0], int(rng.integers(2)), [], []
+        while at[0] < len(pair[0][1]) or at[1] < len(pair[1][1]):
+            n = int(rng.geometric(1 / RUN))
+            x.append(pair[turn][0][at[turn] : at[turn] + n])
+            y.append(pair[turn][1][at[turn] : at[turn] + n])
+            at[turn] += n
+            turn = 1 - turn
+        out.append((np.concatenate(x), np.concatenate(y)))
+    return out
+
+
+def fit_weights(sample: list[tuple[str, int]]) -> dict | None:
+    """Weights from texts with their documents' labels. None if a class is missing."""
+    rows = [(*line_features(t), q) for t, q in sample]
+    rows = [r for r in rows if len(r[0])]
+    if len({q for *_, q in rows}) < 2:
+        return None
+    fixed = [(x[:, [AGAIN, LICENCE, SYMBOLS]] > 0).any(axis=1) for x, _, _ in rows]
+    w, move = np.zeros(FEATURES), np.zeros((2, 2))
+    for _ in range(1 + ROUNDS):
+        docs = [(x, latent(x @ w, size, f, q), q) for (x, size, q), f in zip(rows, fixed, strict=True)]
+        w, move = maximise(spliced(docs, np.random.default_rng(3)))
     return {"w": w, "move": move}
 
 
@@ -165,7 +238,8 @@ def content_share(text: str, model: dict | None) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 300, max_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict | None:
-    """Weights from about per_class labelled documents of each class of at most max_chars characters."""
+    """Weights from about per_class labelled documents of each class of at most max_chars characters.
+    Labels that repeat are taken once; the rows that are gathered have the bound however often ids repeat."""
     known = columns_of(labels, id_col, label_col).toDF("id", "q").where(F.col("q").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.min("q").cast("int").alias("q"))
     n = {r["q"]: r["n"] for r in known.groupBy("q").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
@@ -173,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 300, max_chars: int
     share = F.create_map(*(F.lit(x) for k, v in n.items() for x in (k, per_class / v)))
     drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 24)) / F.lit(float(1 << 24)) < share[F.col("q")])
     texts = columns_of(docs, id_col, text_col).toDF("id", "text").where(F.length("text") <= max_chars)
-    rows = texts.join(F.broadcast(drawn), "id").select("id", "q", "text").collect()  # bounded by per_class and max_chars
+    rows = texts.join(F.broadcast(drawn), "id").groupBy("id", "q").agg(F.min("text").alias("text")).collect()  # bounded by per_class and max_chars
     model = fit_weights([(r["text"], r["q"]) for r in sorted(rows, key=lambda r: (r["id"], r["text"]))])
     # The sample has as many of either class; a sequence begins with the odds that the labels have.
     return model and model | {"prior": float(np.clip(np.log(n[1] / n[0]), -3, 3))}
