@@ -4,15 +4,19 @@ A tokenizer for tags (comments, scripts, styles and the like leave at once) spli
 blocks of text and notes for each its length, the share of stop words, the share of characters in
 links, whether it is a heading, and the containers that it stands in.
 
-Pass 1 decides on each block alone. Containers that say what they are (nav, footer, aside, form; or
-a class, id or role such as ad, sidebar, notice or comments) make their blocks boilerplate. All
-other blocks are judged by length, stop-word density and links. An article or main element is a
-prior: inside it a moderate stop-word density is enough, one sign against a block (many links, or no
-stop words where the article's other text has them) leaves it undecided, and both signs, or almost
-only links, make it boilerplate. What stands outside articles is boilerplate only if one article has
-at least as much content-like text as all of it. Short blocks stay undecided. Pass 2 gives these the label of
-the nearest decided neighbours: content if both are, or the nearer one where they differ; inside an
-article only neighbours in the same article count, and without any the block is content.
+Pass 1 decides on each block alone. Containers that say what they are (nav, footer, aside, form, a
+header outside articles; or a class, id or role such as ad, sidebar, notice or comments) make their
+blocks boilerplate. All other blocks are judged by length, stop-word density and links. On a page
+whose text hardly has any of the stop words, its language isn't among theirs, and length and links
+decide alone; there a character of a script without spaces counts as `WIDE`. An article or main
+element is a prior, whatever it is called (unless it is comments, related or hidden): inside it a
+moderate stop-word density is enough, one sign against a block (many links, or no stop words where
+the article's other text has them) leaves it undecided, and both signs make it boilerplate. What
+stands outside articles is boilerplate only if one article has at least as much content-like text as
+all of it. Short blocks stay undecided. Pass 2 gives these the label of the nearest decided
+neighbours: content if both are, or the nearer one where they differ; inside an article only
+neighbours in the same article count, and without any the block is content; blocks that are mostly
+links need content on both sides.
 
 Defined results: null or empty html, and a page without content, give an empty text; malformed
 markup never fails (an unclosed tag or comment ends with the page); repeated rows give repeated
@@ -50,11 +54,16 @@ BAD_NAMES = frozenset(
     "nav navbar navigation newsletter notice notices alert pagination pager popup promo promotion related search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split()
 )
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+# What an article or main element may be called that isn't the page's own; first parts of names that say nothing of the element itself.
+NOT_OWN = frozenset("comment comments commentlist disqus related ad ads".split())
+STATES = frozenset("has is no not with without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.05, 0.12
-LINK_LIMIT, ARTICLE_LINK_LIMIT = 0.33, 0.8
+LINK_LIMIT, MOSTLY_LINKS = 0.33, 0.8
+WIDE = 3
+SENTENCE_ENDS = ".!?…。！？؟।"
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|textarea|title|xmp|noembed|noframes)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*+[^>]*+>|\Z)"
@@ -71,19 +80,22 @@ def says_boilerplate(tag: str, attributes: str) -> tuple[bool, bool, bool]:
         return tag in BAD_TAGS, False, tag in ("article", "main")
     got = {k.lower(): entities.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(attributes)}
     role = got.get("role", "").lower()
-    names = {p.lower() for k in ("class", "id") for p in NAME_PARTS.findall(got.get(k, ""))}
+    tokens = [[p.lower() for p in NAME_PARTS.findall(t)] for k in ("class", "id") for t in got.get(k, "").split()]
+    names = {p for parts in tokens if parts and parts[0] not in STATES for p in parts}
     article = tag in ("article", "main") or role in ("main", "article")
     named = bool(names & BAD_NAMES) and tag not in ("body", "html", *HEADINGS)
     hidden = "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
-    comments = bool(names & {"comment", "comments", "commentlist", "disqus", "related", "ad", "ads"}) or hidden
-    return tag in BAD_TAGS or role in BAD_ROLES or named or hidden, comments, article and not named
+    comments = bool(names & NOT_OWN) or hidden
+    if article and not comments:
+        return False, False, True
+    return tag in BAD_TAGS or role in BAD_ROLES or named or hidden, comments, False
 
 
 class Block:
-    __slots__ = ("parts", "linked", "heading", "bad", "article", "text", "label")
+    __slots__ = ("parts", "linked", "heading", "bad", "article", "text", "label", "links")
 
     def __init__(self, bad: bool, article: int, heading: bool) -> None:
-        self.parts, self.linked, self.heading, self.bad, self.article, self.text, self.label = [], 0, heading, bad, article, "", None
+        self.parts, self.linked, self.heading, self.bad, self.article, self.text, self.label, self.links = [], 0, heading, bad, article, "", None, False
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -148,6 +160,7 @@ def blocks_of(page: str) -> list[Block]:
                 stack.pop()
             _, bad, hides, article, heading = stack[-1]
             is_bad, is_hiding, is_article = says_boilerplate(tag, attributes)
+            is_bad = is_bad or tag == "header" and not article
             if is_article and not hides and not is_bad:
                 articles += 1
                 bad, article = False, article or articles
@@ -172,6 +185,11 @@ def stop_words(text: str) -> tuple[int, int]:
     return sum(w in STOP_WORDS for w in words), len(words)
 
 
+def length(text: str) -> int:
+    """Characters, where those of scripts without spaces count more."""
+    return len(text) + (WIDE - 1) * sum("\u2e80" <= c <= "\ud7ff" for c in text) if not text.isascii() else len(text)
+
+
 def first_pass(blocks: list[Block]) -> None:
     """Sets label to True (content), False (boilerplate) or None (too short, or too little, to tell)."""
     seen = []
@@ -180,27 +198,31 @@ def first_pass(blocks: list[Block]) -> None:
         if b.bad:
             continue
         density = b.linked / max(1, len(b.text.replace(" ", "")))
-        stops, words = stop_words(b.text) if len(b.text) >= SHORT else (0, 0)
-        seen.append((b, density, stops / max(1, words)))
+        b.links = density > MOSTLY_LINKS
+        size = length(b.text)
+        stops, words = stop_words(b.text) if size >= SHORT else (0, 0)
+        seen.append((b, density, stops / max(1, words), size))
         if density <= LINK_LIMIT:
             known[b.article][0] += stops
             known[b.article][1] += words
+    foreign = sum(s for s, _ in known.values()) < STOP_LOW * sum(w for _, w in known.values())
     weight: dict[int, int] = defaultdict(int)  # article (0: outside) -> its content-like text
-    for b, density, share in seen:
-        size = len(b.text)
+    for b, density, share, size in seen:
         linked = density > LINK_LIMIT
         if b.article:
             poor = share < STOP_LOW and known[b.article][0] >= STOP_LOW * known[b.article][1] > 0
-            if density > ARTICLE_LINK_LIMIT or size >= SHORT and linked and poor:
+            if size >= SHORT and linked and poor:
                 b.label = False
             else:
                 b.label = None if size < SHORT or linked or poor else True
-        elif linked or "©" in b.text:
+        elif linked or "©" in b.text and size < LONG:
             b.label = False
         elif size < SHORT:
             b.label = None if not b.linked else False
+        elif foreign:
+            b.label = True if size >= LONG or b.text[-1] in SENTENCE_ENDS else None
         else:
-            b.label = True if share >= STOP_HIGH and (size >= LONG or b.text[-1] in ".!?") else None if share >= STOP_LOW else False
+            b.label = True if share >= STOP_HIGH and (size >= LONG or b.text[-1] in SENTENCE_ENDS) else None if share >= STOP_LOW else False
         if b.label:
             weight[b.article] += size
     articles = {b.article for b, *_ in seen if b.article}
@@ -232,7 +254,9 @@ def second_pass(blocks: list[Block]) -> list[bool]:
                 near = (i, b.label)
             continue
         before, after = back[i], near
-        if b.heading and not b.article:
+        if b.links:
+            out[i] = bool(before and after and before[1] and after[1])
+        elif b.heading and not b.article:
             out[i] = bool(after and after[1])
         elif before and after:
             out[i] = before[1] if before[1] == after[1] else b.article > 0 or (before[1] if i - before[0] <= after[0] - i else after[1])
