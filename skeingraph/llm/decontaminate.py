@@ -13,8 +13,10 @@ broadcast (about 8 KB an item) and held against all documents in one pass withou
 
 Defined results: pairs (document, item) with containment of at least the threshold, one for each
 pair of ids (the best, if ids repeat); null or empty texts, of either side, contain nothing and are
-contained in nothing; an item of fewer than five words is found only in documents of just these
-words; empty tables give no pairs; only the named columns are read.
+contained in nothing; an item of fewer than five words is found in documents of just these words,
+and with `short_anywhere` wherever they stand in a row (off by default: a benchmark answer of a word
+or two would condemn most documents); empty tables give no pairs; only the named columns are read;
+id_col and item_col must differ.
 """
 
 from __future__ import annotations
@@ -49,18 +51,21 @@ def bands(threshold: float, recall: float) -> int:
 class Search:
     """What the executors hold of a block of items."""
 
-    def __init__(self, items: list[tuple[object, str | None]], threshold: float = THRESHOLD, recall: float = RECALL) -> None:
+    def __init__(self, items: list[tuple[object, str | None]], threshold: float = THRESHOLD, recall: float = RECALL, short_anywhere: bool = False) -> None:
         self.threshold = threshold
         self.a, self.b = permutations(bands(threshold, recall), SEED)
         self.items: list[tuple[object, np.ndarray, list[str]]] = []
         self.few: dict[int, list[int]] = defaultdict(list)  # shingle -> items of few shingles
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))  # words -> their hash -> items of fewer words than a shingle
         self.found: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))  # class -> MinHash value -> items
         for key, text in items:
             words = words_of(text)
             h = np.unique(shingle_hashes(words))
             if not len(h):
                 continue
-            if len(h) <= FEW:
+            if short_anywhere and len(words) < SIZE:
+                self.short[len(words)][h.tolist()[0]].append(len(self.items))
+            elif len(h) <= FEW:
                 for v in h.tolist():
                     self.few[v].append(len(self.items))
             else:
@@ -110,7 +115,11 @@ class Search:
             n = len(own & {tuple(words[k : k + SIZE]) for k in at})
             if n >= self.threshold * len(own) - 1e-9:
                 out.append((key, n, len(own)))
-        return out
+        for size, items in self.short.items():
+            runs = shingle_hashes(words, size) if len(words) >= size else h[:0]
+            for at in np.flatnonzero(np.isin(runs, np.fromiter(items, np.uint64, len(items)))).tolist():
+                out += [(self.items[i][0], 1, 1) for i in items[int(runs[at])] if self.items[i][2] == words[at : at + size]]
+        return list(dict.fromkeys(out)) if self.short else out
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str, block: int):
@@ -121,8 +130,10 @@ def blocks(items: DataFrame, id_col: str, text_col: str, block: int):
         yield sorted(((r["id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()), key=repr)
 
 
-def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = BLOCK, short_anywhere: bool = False) -> DataFrame:
     """(id, item id, n_shared, n_item, containment) of every pair at or above the threshold."""
+    if id_col == item_col:
+        raise ValueError("id_col and item_col must differ, as both are columns of the result")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, items.schema[item_col].dataType), T.StructField("n_shared", T.LongType()), T.StructField("n_item", T.LongType())])
     texts = columns_of(docs, id_col, text_col)
 
@@ -130,7 +141,7 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, reca
         held = docs.sparkSession.sparkContext.broadcast(part)
 
         def start():
-            s = Search(held.value, threshold, recall)
+            s = Search(held.value, threshold, recall, short_anywhere)
 
             def run(keys, texts):
                 out = [(k, *hit) for k, t in zip(keys, texts, strict=True) for hit in s.hits(t)]
@@ -145,13 +156,13 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, reca
     return best.select(id_col, item_col, "m.n_shared", "m.n_item", (F.col("m.n_shared") / F.col("m.n_item")).alias("containment"))
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = BLOCK, short_anywhere: bool = False) -> DataFrame:
     """The rows, with all columns, that contain no item."""
     for part in blocks(items, item_col, item_text_col, block):
         held = docs.sparkSession.sparkContext.broadcast(part)
 
         def start(held=held):
-            s = Search(held.value, threshold, recall)
+            s = Search(held.value, threshold, recall, short_anywhere)
             return lambda texts: [not s.hits(t) for t in texts]
 
         docs = keep_rows(docs, [text_col], start)

@@ -35,13 +35,13 @@ def words_of(text: str | None) -> list[str]:
     return find_words((text or "").lower())
 
 
-def shingle_hashes(words: list[str]) -> np.ndarray:
-    """A hash for each place where a shingle begins, in order; repeated shingles stay."""
+def shingle_hashes(words: list[str], size: int = SIZE) -> np.ndarray:
+    """A hash for each place where a shingle (of `size` words) begins, in order; repeated shingles stay."""
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
     w = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    size = min(SIZE, n)
+    size = min(size, n)
     h = np.full(n - size + 1, size, np.uint64)
     for i in range(size):
         h = h * FACTOR + w[i : n - size + 1 + i]
