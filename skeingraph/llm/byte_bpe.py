@@ -8,7 +8,8 @@ pre-token of n bytes is O(n log n), where a scan for the best pair would take O(
 
 Defined results: null text encodes as empty (no ids, digest of nothing); rows are independent, so
 repeated rows and ids give repeated results; an empty table gives an empty table; only the id and
-text columns are read, so further columns of any name do no harm.
+text columns are read, so further columns of any name do no harm. Decoding leaves null ids out and
+writes U+FFFD for an id that the vocabulary doesn't have.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from skeingraph.runtime import columns_of, map_columns
 
 #: Pre-tokens, and chunks, kept with their ids by a Python worker; when full, a cache begins anew.
 CACHE, CHUNKS = 400_000, 200_000
+# Fixed value: the pattern for which no match goes on over a single space or line break between others.
+CHUNK_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD = 8  # bits of a rank that one bitmap word covers
 
 
@@ -122,6 +125,7 @@ class Encoder:
         self.names = {v: str(v) for v in ranks.values()}
         self.words = [0] * ((max(ranks.values(), default=0) >> WORD) + 1)
         self.split = regex.compile(pattern).findall
+        self.by_chunks = pattern == CHUNK_PATTERN
         self.adjoining = re.compile(r"\s\s").search
         outer = self
 
@@ -151,17 +155,25 @@ class Encoder:
         return tuple(chain.from_iterable(map(self.pretokens.__getitem__, self.split(text))))
 
     def ids(self, text: str) -> list[int]:
-        """No match of the pattern goes on over a single space or line break between two other
-        characters, so a text without adjoining white space is encoded chunk by chunk."""
+        """No match of CHUNK_PATTERN goes on over a single space or line break between two other
+        characters, so with it a text without adjoining white space is encoded chunk by chunk."""
         if not text:
             return []
-        if text[0].isspace() or text[-1].isspace() or self.adjoining(text):
+        if not self.by_chunks or text[0].isspace() or text[-1].isspace() or self.adjoining(text):
             return list(self.whole(text))
         first, *rest = text.replace("\n", " \n").split(" ")
         return list(chain(self.whole(first), chain.from_iterable(map(self.chunks.__getitem__, rest))))
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+        return joined(self.pieces, ids)
+
+
+def joined(pieces: dict[int, bytes], ids: list[int | None] | None) -> bytes:
+    """The bytes of the ids; nothing for nulls, U+FFFD for ids that aren't known."""
+    try:
+        return b"".join(map(pieces.__getitem__, ids or ()))
+    except KeyError:
+        return b"".join(pieces.get(i, b"\xef\xbf\xbd") for i in ids or () if i is not None)
 
 
 _encoders: dict[tuple[int, int, str], Encoder] = {}
@@ -194,7 +206,7 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", i
 
     def start():
         pieces = {v: k for k, v in held.value.items()}
-        return lambda keys, ids: (keys, [b"".join(map(pieces.__getitem__, x or ())) for x in ids])
+        return lambda keys, ids: (keys, [joined(pieces, x) for x in ids])
 
     return map_columns(columns_of(tokens, id_col, ids_col), schema, start)
 
