@@ -33,6 +33,7 @@ SEED = 20_240_511
 PIECE = 1 << 20
 UNKNOWN = "und"
 SHORT = 20
+MAX_LANGS = 1000
 
 
 def held_out(id_col: Column) -> Column:
@@ -94,13 +95,14 @@ def document_vector(text: str | None) -> np.ndarray | None:
 
 
 def learning(docs: DataFrame, per_lang: int, id_col: str, text_col: str, lang_col: str) -> DataFrame | None:
-    """(id, text, lang) of the learning documents: a sample of the rows with a language that are not held out."""
+    """(id, text, lang) of the learning documents: a sample of the rows with a language that are not held
+    out, of the `MAX_LANGS` most frequent languages."""
     d = columns_of(docs, id_col, text_col, lang_col).toDF("id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    n = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    n = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not n:
         return None
     share = F.create_map(*(F.lit(x) for k, v in n.items() for x in (k, per_lang / v)))
-    drawn = F.pmod(F.xxhash64(F.col("id")), F.lit(1 << 24)) / F.lit(float(1 << 24)) < share[F.col("lang")]
+    drawn = F.pmod(F.xxhash64(F.col("id")), F.lit(1 << 24)) / F.lit(float(1 << 24)) < F.coalesce(share[F.col("lang")], F.lit(0.0))
     return d.where(drawn)
 
 
