@@ -94,16 +94,17 @@ def normal_equations(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> tu
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict:
-    known = columns_of(labels, id_col, label_col).toDF("id", "y").where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    known = columns_of(labels, id_col, label_col).toDF("id", "y").where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.min("y").alias("y"))
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return {"flat": float(next(iter(n))) if n else 0.5}
     share = F.create_map(*(F.lit(x) for k, v in n.items() for x in (k, per_class / v)))
     drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 24)) / F.lit(float(1 << 24)) < share[F.col("y")])
     texts = columns_of(docs, id_col, text_col).toDF("id", "text").join(F.broadcast(drawn), "id")  # at most about 2 * per_class ids
-    schema = T.StructType([T.StructField("y", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("y", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
     turn = (F.crc32(F.col("id").cast("string").cast("binary")) % 4).alias("turn")
-    rows = stored(map_columns(texts.select(F.col("y").cast("long"), turn, "text"), schema, lambda: lambda ys, turns, ts: (ys, turns, [list(map(float, statistics(t))) for t in ts])))
+    each = map_columns(texts.select("id", F.col("y").cast("long"), turn, "text"), schema, lambda: lambda ids, ys, turns, ts: (ids, ys, turns, [list(map(float, statistics(t))) for t in ts]))
+    rows = stored(each.groupBy("id", "y", "turn").agg(F.min("x").alias("x")))  # one row for each drawn id, however often it repeats
     learn = rows.where("turn <> 3")
     got = learn.select(*(f(F.col("x")[i]).alias(f"{k}{i}") for k, f in (("m", F.avg), ("s", F.stddev_pop)) for i in range(FEATURES))).first()
     if got["m0"] is None:
