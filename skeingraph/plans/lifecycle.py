@@ -48,9 +48,8 @@ def listing(spark: SparkSession, root: Path) -> DataFrame:
 
 def parsed(files: DataFrame, root: Path, repo_id: str) -> tuple[DataFrame, DataFrame]:
     """(files with content_hash and has_error, observations) of rows from listing()."""
-    read = scan.with_content(files, str(root))
-    hashed = stored(read.select("file_path", "language", "size", "mtime_ns", F.sha2(F.coalesce("content", F.lit(b"")), 256).alias("content_hash")))
-    found = stored(extract.observations(read, repo_id))
+    read = stored(extract.parsed(scan.with_content(files.select("file_path", "language", "size", "mtime_ns"), str(root)), repo_id))
+    hashed, found = read.drop("found"), extract.unpacked(read)
     bad = found.where("kind = 'parse_error'").select("file_path").distinct().withColumn("bad", F.lit(True))
     return hashed.join(bad, "file_path", "left").withColumn("has_error", F.col("bad").isNotNull()).drop("bad"), found
 

@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Used only where the session names no spark.checkpoint.dir (tests, notebooks).
+#: Used only where the session names no spark.checkpoint.dir and runs on one host (tests, notebooks).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/skeingraph"
 
 
@@ -32,10 +32,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, our own
+    if all run on this host, and an error on a cluster, whose hosts would not see each other's files."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or LOCAL_CHECKPOINTS)
     return context.getCheckpointDir()
 
 
