@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from skeingraph.functions.columns import dotted_suffixes, percentile_nearest, stable_id
 from skeingraph.operators import diff, graph, link
-from skeingraph.plans import agent, evaluate, lifecycle, starmap
+from skeingraph.plans import agent, code, evaluate, lifecycle, starmap
+from skeingraph.sources import extract
 from skeingraph.plans.starmap import SQL_EDGES, SQL_NODES, sql_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -468,3 +469,25 @@ def set_differences(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     a, b = (o.where(F.col("o_orderkey") % 2 == r).select(F.col("o_custkey").cast("string").alias("file_path")).distinct().withColumns({"size": F.lit(0), "mtime_ns": F.lit(0)}) for r in (0, 1))
     return diff.fingerprint_diff(b, a).where("change <> 'same'").groupBy("change").agg(F.count("*").alias("n"))
+
+
+# ---- sources to graph
+
+
+@query(code.SOURCES_SQL)
+def extract_observations(spark, sf_dir):
+    """What the extractors of four languages find in a file for each part."""
+    found = extract.observations(code.sources(spark, sf_dir), code.REPO)
+    return found.select("file_path", F.col("raw.language").alias("language"), "kind", F.when(F.col("kind") == "call", F.col("target")).alias("target"))
+
+
+@query(code.NODES_SQL)
+def link_nodes(spark, sf_dir):
+    return link.link(code.observed(spark, sf_dir), code.REPO)[0].select("node_id", "kind", "name", "fqname", "file_path", "parent_id")
+
+
+@query(code.EDGES_SQL)
+def link_edges(spark, sf_dir):
+    """CONTAINS, DEFINES, IMPORTS, INHERITS, CALLS and MAY_CALL as the linker finds them."""
+    e = link.link(code.observed(spark, sf_dir), code.REPO)[1]
+    return e.select("edge_id", "src_id", "dst_id", "rel_type", "frequency", "confidence", F.col("evidence")[0]["type"].alias("first_evidence"))
