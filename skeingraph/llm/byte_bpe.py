@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from skeingraph.runtime import columns_of, map_columns
 
 #: Pre-tokens, and chunks, kept with their ids by a Python worker; when full, a cache begins anew.
-CACHE, CHUNKS = 400_000, 200_000
+CACHE, CHUNKS = 300_000, 100_000
 # Fixed value: the pattern for which no match goes on over a single space or line break between others.
 CHUNK_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD = 8  # bits of a rank that one bitmap word covers

@@ -57,7 +57,7 @@ LIMIT = 1024
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 DEPTH = 6
 SALTS = 32
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 #: Ids up to this number are broadcast (some 10 MB); more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 SEED = 5
