@@ -58,9 +58,9 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_columns(df: DataFrame, schema: T.StructType, start: Callable[[], Callable], rows: int = 256) -> DataFrame:
-    """mapInArrow in slices of `rows` rows: start() is called once per task and returns a
-    function from the input columns (lists) to the output columns (lists, any length)."""
+def map_columns(df: DataFrame, schema: T.StructType, start: Callable[[], Callable], rows: int = 256, size: int | None = None) -> DataFrame:
+    """mapInArrow in slices of `rows` rows, fewer where they'd have more than `size` bytes: start() is called
+    once per task and returns a function from the input columns (lists) to the output columns (lists, any length)."""
     ship(df.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
@@ -70,8 +70,12 @@ def map_columns(df: DataFrame, schema: T.StructType, start: Callable[[], Callabl
         arrow = to_arrow_schema(schema)
         f = start()
         for batch in batches:
-            for lo in range(0, batch.num_rows, rows):
+            lo = 0
+            while lo < batch.num_rows:
                 part = batch.slice(lo, rows)
+                while size is not None and part.nbytes > size and part.num_rows > 1:
+                    part = part.slice(0, part.num_rows // 2)
+                lo += part.num_rows
                 out = f(*(c.to_pylist() for c in part.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, arrow, strict=True)], schema=arrow)
 
