@@ -3,7 +3,8 @@
 The merge loop keeps, for each merge rank, a bucket of positions in a doubly linked list of
 parts. Two levels of bitmaps say which buckets hold anything: a word of 256 ranks, and a word of
 words. Find-first-set on both gives the lowest rank in constant time, however long the pre-token
-is; entries whose pair has changed since they were queued are skipped when they surface. Work per
+is; a pair is queued once it goes before both neighbours, and entries whose pair has changed since
+they were queued are skipped when they surface. Work per
 pre-token of n bytes is O(n log n), where a scan for the best pair would take O(n^2).
 
 Defined results: null text encodes as empty (no ids, digest of nothing); rows are independent, so
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import chain
 
@@ -24,9 +26,11 @@ from pyspark.sql import types as T
 
 from skeingraph.runtime import columns_of, map_columns
 
-#: Pre-tokens, and chunks, kept with their ids by a Python worker; when full, a cache begins anew.
-CACHE, CHUNKS = 300_000, 100_000
-# Fixed value: the pattern for which no match goes on over a single space or line break between others.
+#: Pre-tokens of each of two ages that a Python worker keeps with their ids.
+CACHE = 200_000
+#: Characters after which a long text is cut, so that its pre-tokens needn't be held all at once.
+SLICE = 1_000_000
+# Fixed value: the pattern for which no match goes on over a single space between other characters.
 CHUNK_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD = 8  # bits of a rank that one bitmap word covers
 
@@ -38,131 +42,145 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 BIT = [1 << i for i in range(1 << 12)]  # enough for a million ranks
+NONE = -1  # the order of a pair that isn't in the vocabulary
 
 
-def merge(piece: bytes, ranks: dict[bytes, int], words: list[int]) -> tuple[int, ...]:
-    """Ids of one pre-token. The queue is top (a bit for each word in use), words (a bit for each
-    bucket in use; all 0 on entry and on return) and buckets (heaps of positions, as the leftmost
-    of a rank merges first)."""
-    rank_of = ranks.get
-    whole = rank_of(piece)
+class Queue:
+    """What `merge` needs of a vocabulary. An order is the last rank less the rank, so that the pair
+    to merge next has the highest one and find-first-set is the length of a bitmap."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        last = max(ranks.values(), default=0)
+        self.order = {piece: last - r for piece, r in ranks.items()}
+        self.pairs = [[self.order.get(bytes((a, b)), NONE) for b in range(256)] for a in range(256)]
+        self.words = [0] * ((last >> WORD) + 1)  # a bit for each bucket in use; all 0 between merges
+
+
+def merge(piece: bytes, queue: Queue) -> tuple[int, ...]:
+    """Ids of one pre-token. The queue is top (a bit for each word in use), words and buckets (heaps
+    of positions, as the leftmost of a rank merges first). Only a pair that goes before both
+    neighbours is queued, as any other has to wait for them; a merge changes two pairs, so that of
+    four pairs it may let two into the queue."""
+    whole = queue.ranks.get(piece)
     if whole is not None:
         return (whole,)
+    order_of, words = queue.order.get, queue.words
     n = len(piece)
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
-    live = []  # the rank of the pair that begins here now
-    top, buckets = 0, {}
+    # the order of the pair that begins here now; none at the last part, nor at n, which -1 finds too
+    live = [queue.pairs[a][b] for a, b in zip(piece, piece[1:])]
+    live += (NONE, NONE)
+    top, buckets, last = 0, {}, NONE
     for i in range(n - 1):
-        r = rank_of(piece[i : i + 2])
-        live.append(r)
-        if r is not None:
-            if r in buckets:
-                buckets[r].append(i)
+        s = live[i]
+        if s > last and s >= live[i + 1]:
+            if s in buckets:
+                buckets[s].append(i)
             else:
-                buckets[r] = [i]
-                words[r >> WORD] |= BIT[r & 255]
-                top |= BIT[r >> WORD]
-    live.append(None)
+                buckets[s] = [i]
+                words[s >> WORD] |= BIT[s & 255]
+                top |= BIT[s >> WORD]
+        last = s
     while top:
-        word = (top & -top).bit_length() - 1
+        word = top.bit_length() - 1
         bits = words[word]
-        low = bits & -bits
-        r = (word << WORD) + low.bit_length() - 1
-        bucket = buckets[r]
+        bit = bits.bit_length() - 1
+        s = (word << WORD) + bit
+        bucket = buckets[s]
         if len(bucket) > 1:
             i = heappop(bucket)
         else:
             i = bucket[0]
-            del buckets[r]
-            words[word] = bits = bits ^ low
+            del buckets[s]
+            words[word] = bits = bits ^ BIT[bit]
             if not bits:
-                top &= top - 1
-        if live[i] != r:  # stale
+                top ^= BIT[word]
+        if live[i] != s:  # stale
             continue
-        gone = after[i]
+        gone, left = after[i], before[i]
         end = after[i] = after[gone]
-        live[gone] = None
-        left = before[i]
+        was, live[gone] = live[gone], NONE
+        first = second = NONE  # positions to queue
+        own = order_of(piece[i : after[end]], NONE) if end < n else NONE
+        live[i] = own
+        new = NONE
+        if left >= 0:
+            old, further = live[left], before[left]
+            new = live[left] = order_of(piece[left:end], NONE)
+            s = live[further]
+            if new > s:
+                if new >= own:
+                    first = left
+            elif old > s > live[before[further]] and further >= 0:
+                first = further
         if end < n:
             before[end] = i
-            r = live[i] = rank_of(piece[i : after[end]])
-            if r is not None:
-                if r in buckets:
-                    heappush(buckets[r], i)
+            s = live[end]
+            if own >= s:
+                if own > new:
+                    second = i
+            elif was >= s >= live[after[end]]:
+                second = end
+        for i in (first, second):
+            if i >= 0:
+                s = live[i]
+                if s in buckets:
+                    heappush(buckets[s], i)
                 else:
-                    buckets[r] = [i]
-                    words[r >> WORD] |= BIT[r & 255]
-                    top |= BIT[r >> WORD]
-        else:
-            live[i] = None
-        if left >= 0:
-            r = live[left] = rank_of(piece[left:end])
-            if r is not None:
-                if r in buckets:
-                    heappush(buckets[r], left)
-                else:
-                    buckets[r] = [left]
-                    words[r >> WORD] |= BIT[r & 255]
-                    top |= BIT[r >> WORD]
+                    buckets[s] = [i]
+                    words[s >> WORD] |= BIT[s & 255]
+                    top |= BIT[s >> WORD]
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : after[i]]])
+        out.append(queue.ranks[piece[i : after[i]]])
         i = after[i]
     return tuple(out)
 
 
+class Pretokens(dict):
+    """From a pre-token to its ids. When full, its entries become the elder ones, of which those come back that are met again."""
+
+    def __init__(self, queue: Queue) -> None:
+        super().__init__()
+        self.queue, self.elder = queue, {}
+
+    def __missing__(self, match: str) -> tuple[int, ...]:
+        ids = self.elder.get(match)
+        if ids is None:
+            ids = merge(match.encode("utf-8"), self.queue)
+        if len(match) < 64:
+            if len(self) >= CACHE:
+                self.elder = dict(self)
+                self.clear()
+            self[match] = ids
+        return ids
+
+
 class Encoder:
-    """Encodes and decodes texts; keeps the ids of frequent chunks, which are a pre-token or a few."""
+    """Encodes and decodes texts; keeps the ids of frequent pre-tokens."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        import re
-
         import regex
 
-        self.ranks = ranks
         self.pieces = {v: k for k, v in ranks.items()}
         self.names = {v: str(v) for v in ranks.values()}
-        self.words = [0] * ((max(ranks.values(), default=0) >> WORD) + 1)
         self.split = regex.compile(pattern).findall
-        self.by_chunks = pattern == CHUNK_PATTERN
-        self.adjoining = re.compile(r"\s\s").search
-        outer = self
-
-        class Chunks(dict):
-            """From what follows a single space (or begins with a line break) to its ids."""
-
-            def __missing__(self, rest: str) -> tuple[int, ...]:
-                ids = outer.whole(rest if rest[:1] == "\n" else " " + rest)
-                if len(rest) < 64:
-                    if len(self) >= CHUNKS:
-                        self.clear()
-                    self[rest] = ids
-                return ids
-
-        class Pretokens(dict):
-            def __missing__(self, match: str) -> tuple[int, ...]:
-                ids = merge(match.encode("utf-8"), outer.ranks, outer.words)
-                if len(match) < 64:
-                    if len(self) >= CACHE:
-                        self.clear()
-                    self[match] = ids
-                return ids
-
-        self.chunks, self.pretokens = Chunks(), Pretokens()
-
-    def whole(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.pretokens.__getitem__, self.split(text))))
+        self.cut = regex.compile(r"\S(?= \S)").search if pattern == CHUNK_PATTERN else None
+        self.pretokens = Pretokens(Queue(ranks))
+
+    def slices(self, text: str) -> Iterator[str]:
+        """Parts of a long text that no match of CHUNK_PATTERN crosses; other patterns: the text."""
+        lo = 0
+        while self.cut and len(text) - lo > SLICE and (found := self.cut(text, lo + SLICE)):
+            yield text[lo : found.end()]
+            lo = found.end()
+        yield text[lo:]
 
     def ids(self, text: str) -> list[int]:
-        """No match of CHUNK_PATTERN goes on over a single space or line break between two other
-        characters, so with it a text without adjoining white space is encoded chunk by chunk."""
-        if not text:
-            return []
-        if not self.by_chunks or text[0].isspace() or text[-1].isspace() or self.adjoining(text):
-            return list(self.whole(text))
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return list(chain(self.whole(first), chain.from_iterable(map(self.chunks.__getitem__, rest))))
+        matches = chain.from_iterable(map(self.split, self.slices(text)))
+        return list(chain.from_iterable(map(self.pretokens.__getitem__, matches)))
 
     def decode(self, ids: list[int]) -> bytes:
         return joined(self.pieces, ids)
