@@ -58,6 +58,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """What a task has freed goes back to the system, as Python workers live on between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def map_columns(df: DataFrame, schema: T.StructType, start: Callable[[], Callable], rows: int = 256) -> DataFrame:
     """mapInArrow in slices of `rows` rows: start() is called once per task and returns a
     function from the input columns (lists) to the output columns (lists, any length)."""
@@ -74,6 +86,8 @@ def map_columns(df: DataFrame, schema: T.StructType, start: Callable[[], Callabl
                 part = batch.slice(lo, rows)
                 out = f(*(c.to_pylist() for c in part.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, arrow, strict=True)], schema=arrow)
+        f = batch = part = out = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -91,6 +105,8 @@ def keep_rows(df: DataFrame, columns: list[str], start: Callable[[], Callable],
             for lo in range(0, batch.num_rows, rows):
                 part = batch.slice(lo, rows)
                 yield part.filter(pa.array(f(*(part.column(c).to_pylist() for c in columns)), pa.bool_()))
+        f = batch = part = None
+        give_back()
 
     return df.mapInArrow(run, df.schema)
 
