@@ -48,7 +48,7 @@ from pyspark.sql import types as T
 
 from skeingraph.llm.components import components
 from skeingraph.llm.shingles import permutations, shingle_hashes, words_of
-from skeingraph.runtime import columns_of, map_columns, ship, stored
+from skeingraph.runtime import columns_of, give_back, map_columns, ship, stored
 
 THRESHOLD = 0.8
 RECALL = 0.99999
@@ -291,6 +291,8 @@ def by_task(rows: DataFrame, schema: T.StructType, work: Callable[[list[dict]],
                 yield packed(out)
                 out = []
         yield packed(out)
+        out = []
+        give_back()
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
@@ -406,6 +408,8 @@ def sent(texts: DataFrame) -> DataFrame:
                         out, size = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+        out, seen, data = [], set(), b""
+        give_back()
 
     return texts.mapInArrow(run, schema)
 
