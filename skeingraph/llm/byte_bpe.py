@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from skeingraph.runtime import columns_of, map_columns
 
 #: Pre-tokens of each of two ages that a Python worker keeps with their ids.
-CACHE = 200_000
+CACHE = 150_000
 #: Characters after which a long text is cut, so that its pre-tokens needn't be held all at once.
 SLICE = 1_000_000
 # Fixed value: the pattern for which no match goes on over a single space between other characters.
