@@ -155,6 +155,16 @@ def test_special_cases(spark):
     check(spark, [ob("call", "z.py", "f", "z", target="f")])
 
 
+def test_nodes_of_one_id_all_stay(spark):
+    # names as link_nodes makes them at 60 times sf0.1, whose ids agree in all 12 digits
+    names = [("ord.o5857926", "ord/5857926.py"), ("parts.p1161363", "parts/1161363.py")]
+    assert len({stable_id_of("node", "code", "module", n, f) for n, f in names}) == 1
+    rows = ordered([{**o, "repo_id": "code"} for n, f in names for o in (ob("file", f, f, f), ob("module", f, n, n, f))])
+    nodes, edges = link(spark.createDataFrame([tuple(r[f] if f != "raw" else tuple(r["raw"].values()) for f in FIELDS) for r in rows], OBSERVATION), "code", "t")
+    assert sorted((n["fqname"], n["file_path"], n["parent_id"]) for n in nodes.collect() if n["kind"] == "module") == [(n, f, stable_id_of("node", "code", "file", f, f)) for n, f in names]
+    assert sorted(e["src_id"] for e in edges.collect() if e["evidence"][0]["type"] == "module_path") == sorted(stable_id_of("node", "code", "file", f, f) for _, f in names)
+
+
 def test_downgrade(spark):
     e = spark.createDataFrame([("CALLS", 0.5), ("CALLS", 0.3), ("CALLS", 0.65), ("IMPORTS", 0.1)], "rel_type string, confidence double")
     assert [tuple(r) for r in downgraded(e).collect()] == [("MAY_CALL", 0.49), ("MAY_CALL", 0.3), ("CALLS", 0.65), ("IMPORTS", 0.1)]
