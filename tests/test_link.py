@@ -7,7 +7,7 @@ import pytest
 
 from skeingraph.functions.columns import stable_id_of
 from skeingraph.functions.schemas import DEFINITION_KINDS, NODE_KINDS, OBSERVATION
-from skeingraph.operators.link import downgraded, link
+from skeingraph.operators.link import downgraded, edge_heads, link
 
 FIELDS = ("ord", "kind", "repo_id", "file_path", "name", "fqname", "span", "parent", "target", "signature", "doc", "raw")
 
@@ -165,6 +165,44 @@ def test_nodes_of_one_id_all_stay(spark):
     assert sorted(e["src_id"] for e in edges.collect() if e["evidence"][0]["type"] == "module_path") == sorted(stable_id_of("node", "code", "file", f, f) for _, f in names)
 
 
+def test_edge_heads_and_shared_ids(spark):
+    names = [("ord.o7801791.run", "function", "ord.o7801791", "ord/7801791.py"), ("ord.o7088022", "module", "ord/7088022.py", "ord/7088022.py")]
+    (a, b) = {stable_id_of("node", "code", k, n, f): None for n, k, _, f in names} | {"": None}
+    assert a.startswith("node_") and not b  # one id for a function and a module
+    other = [("module", "ord.o7801791", "ord/7801791.py", "ord/7801791.py")]
+    rows = [ob("file", f, f, f) for _, _, _, f in names] + [ob(k, f, n, n, p) for k, n, p, f in other] + [ob(k, f, n.rsplit(".", 1)[-1], n, p) for n, k, p, f in names]
+    rows += [ob("import", f, "x", "ord.o7801791", target="ord.o7088022") for f in ("ord/7801791.py",) * 2]
+    frame = spark.createDataFrame([tuple(r[f] if f != "raw" else tuple(r["raw"].values()) for f in FIELDS) for r in ordered([{**r, "repo_id": "code"} for r in rows])], OBSERVATION)
+    want = []
+    for e in link(frame, "code", "t")[1].collect():
+        each = (["ast_parent", "module_path"] if e["rel_type"] == "CONTAINS" else [e["evidence"][0]["type"]] * 2) if e["dst_id"] == a else [e["evidence"][0]["type"]]
+        want += [(e["edge_id"], e["src_id"], e["dst_id"], e["rel_type"], e["frequency"], e["confidence"], x) for x in each]
+    got = edge_heads(frame, "code").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and sum(r["frequency"] == 2 for r in got) == 2
+
+
+def test_stages_leave_no_shuffle_files(spark):
+    import gc
+    import time
+
+    rows = ordered([o for i in range(40) for o in (ob("file", f"f{i}.py", f"f{i}.py", f"f{i}.py"), ob("module", f"f{i}.py", f"f{i}", f"f{i}", f"f{i}.py"), ob("import", f"f{i}.py", "x", f"f{i}", target=f"f{(i + 1) % 40}"))])
+    frame = spark.createDataFrame([tuple(r[f] if f != "raw" else tuple(r["raw"].values()) for f in FIELDS) for r in rows], OBSERVATION)
+    listed = lambda: {x.rsplit("/", 1)[-1] for x in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before = listed()
+    gc.disable()
+    try:
+        edges = link(frame, "r", "t")[1]
+        for _ in range(50):
+            left = listed() - before
+            if not left:
+                break
+            time.sleep(0.1)
+        assert not left
+    finally:
+        gc.enable()
+    assert edges.count() == 120
+
+
 def test_downgrade(spark):
     e = spark.createDataFrame([("CALLS", 0.5), ("CALLS", 0.3), ("CALLS", 0.65), ("IMPORTS", 0.1)], "rel_type string, confidence double")
     assert [tuple(r) for r in downgraded(e).collect()] == [("MAY_CALL", 0.49), ("MAY_CALL", 0.3), ("CALLS", 0.65), ("IMPORTS", 0.1)]
