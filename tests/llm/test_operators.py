@@ -8,7 +8,7 @@ import random
 import re
 import sys
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from skeingraph.llm import byte_bpe, chat, chosen_path, components, decontaminate, hash_ring, html_text, language_id, line_crf, quality_rff, queries, url_filter
 from skeingraph.llm.shingles import shingle_hashes, words_of
+from skeingraph.runtime import at_ranks, quantile
 
 sys.path.insert(0, "tests")
 from oracle import compare  # noqa: E402
@@ -549,6 +550,15 @@ def test_language_on_held_out_rows(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows if r["lang"]]) > 0.97
 
 
+def test_exact_ranks(spark):
+    rng = random.Random(5)
+    values = [rng.choice([rng.gauss(0, 1), rng.randint(-3, 3), rng.gauss(0, 1e-9), 1e12]) for _ in range(5000)]
+    frame = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(5)
+    ranks = [0, 1, 17, 2500, 4998, 4999]
+    assert at_ranks(frame, "v", ranks) == [sorted(map(float, values))[r] for r in ranks]
+    assert quantile(frame.limit(0), "v", 0.5) == 0 and np.isclose(quantile(frame, "v", 0.2501), np.quantile(values, 0.2501), rtol=1e-9)
+
+
 def test_language_odd_rows(spark, odd, none):
     model = language_id.fit(odd)
     got = {(r["doc_id"], r["lang_pred"]) for r in language_id.predict(odd, model).collect()}
@@ -653,6 +663,27 @@ def test_markov_against_plain_counts():
         assert np.isclose(sum(m.probability(context, c) for c in "ab/\x03z"), 1)  # z stands for all others
 
 
+def test_url_models_learn_from_all_rows(spark):
+    names = ["a", "b", "ab", "kiosk", "kio", "casino", "best-poker"]
+    urls = [f"http://{names[i % 7]}{chr(97 + i * 7 % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}.{('com', 'net')[i % 2]}/{'x' * (i % 5)}/{i}" for i in range(9000)]
+    model = url_filter.fit(spark.createDataFrame(list(enumerate([*urls, urls[0], None, ""])), "page_id bigint, url string").repartition(5))
+    hosts, paths = (sorted({url_filter.parts_of(u)[k] for u in urls} - {""}) for k in (0, 1))
+    assert len(hosts) > 6000
+    words = lambda h: set(re.findall("[a-z]+", h)) & set(url_filter.REJECTED_WORDS)
+    accepted = url_filter.made_up(url_filter.ACCEPTED_WORDS) + [(h.split(".")[0], h) for h in hosts if not words(h)] + [(p, p) for p in paths]
+    rejected = url_filter.made_up(url_filter.REJECTED_WORDS) + [(min(words(h)), h) for h in hosts if words(h)] + [(p, p) for p in paths]
+
+    def pair(fold=None):
+        left = [[t for k, t in x if fold is None or zlib.crc32(k.encode()) % 4 != fold] for x in (accepted, rejected)]
+        alphabet = Counter(c for x in left for t in x for c in t + "\x03")
+        return [url_filter.Markov(x, alphabet) for x in left]
+
+    for got, want in zip((model.good, model.bad), pair(), strict=True):
+        assert got.next == want.next and got.total == want.total and got.alphabet == want.alphabet and got.characters == want.characters
+    scores = sorted(url_filter.difference(*m, t) for f in range(4) for m in [pair(f)] for k, t in accepted if zlib.crc32(k.encode()) % 4 == f)
+    assert np.isclose(model.limit, scores[int((len(scores) - 1) * (1 - url_filter.MAX_FALSE_BLOCKS))], rtol=1e-9)
+
+
 def test_url_ratio_on_unseen_names(spark):
     model = url_filter.fit(table(spark, "pages"))
     assert model.report["false_blocks_unseen"] <= 0.01 and model.report["caught_known_words"] > 0.85
