@@ -5,8 +5,8 @@ letter's vector is permuted by its place and the three are bound by elementwise
 document's vector bundles (sums) those of its trigrams; a language's prototype bundles the
 normalised vectors of its learning documents. The prediction is the prototype of highest cosine.
 
-Fitting takes at most about `per_lang` documents of each language (chosen by a hash of the id, a
-bounded sample); prediction reads whole texts of all documents, one pass, no shuffle. What the
+Fitting reads whole texts of all learning documents, and so does the least score, whose quantile is
+exact; prediction reads those of all documents; each is one pass without a shuffle of texts. What the
 driver holds is a vector for each language.
 
 Defined results: null text, empty text and text without a letter give `und` with score 0; so does
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeingraph.llm.chars import codes
-from skeingraph.runtime import columns_of, keep_rows, map_columns
+from skeingraph.runtime import columns_of, keep_rows, map_columns, quantile
 
 DIM = 512
 LETTERS = 128
@@ -34,6 +34,8 @@ PIECE = 1 << 20
 UNKNOWN = "und"
 SHORT = 20
 MAX_LANGS = 1000
+#: Unit vectors are summed as whole multiples of 1 / FIXED.
+FIXED = 1 << 30
 
 
 def held_out(id_col: Column) -> Column:
@@ -94,24 +96,23 @@ def document_vector(text: str | None) -> np.ndarray | None:
     return total / max(np.linalg.norm(total), 1e-9)
 
 
-def learning(docs: DataFrame, per_lang: int, id_col: str, text_col: str, lang_col: str) -> DataFrame | None:
-    """(id, text, lang) of the learning documents: a sample of the rows with a language that are not held
-    out, of the `MAX_LANGS` most frequent languages."""
+def learning(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame | None:
+    """(id, text, lang) of the learning documents: all rows with a language that are not held out, of
+    the `MAX_LANGS` most frequent languages."""
     d = columns_of(docs, id_col, text_col, lang_col).toDF("id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    n = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
-    if not n:
+    langs = [r["lang"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()]
+    if not langs:
         return None
-    share = F.create_map(*(F.lit(x) for k, v in n.items() for x in (k, per_lang / v)))
-    drawn = F.pmod(F.xxhash64(F.col("id")), F.lit(1 << 24)) / F.lit(float(1 << 24)) < F.coalesce(share[F.col("lang")], F.lit(0.0))
-    return d.where(drawn)
+    return d if len(langs) < MAX_LANGS else d.where(F.col("lang").isin(*langs))
 
 
-def fit(docs: DataFrame, per_lang: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """Prototypes from rows with a language that are not held out."""
-    drawn = learning(docs, per_lang, id_col, text_col, lang_col)
-    if drawn is None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
+    """Prototypes from all rows with a language that are not held out. Sums are of whole numbers, so that
+    their order, and how the rows are dealt to tasks, changes nothing."""
+    found = learning(docs, id_col, text_col, lang_col)
+    if found is None:
         return {}
-    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("part", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("part", T.ArrayType(T.LongType()))])
 
     def start():
         def run(texts, langs):
@@ -119,15 +120,17 @@ def fit(docs: DataFrame, per_lang: int = 1500, id_col: str = "doc_id", text_col:
             for t, lang in zip(texts, langs, strict=True):
                 v = document_vector(t)
                 if v is not None:
-                    sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
+                    sums[lang] = sums.get(lang, 0) + np.rint(v.astype(np.float64) * FIXED).astype(np.int64)
             return list(sums), [v.tolist() for v in sums.values()]
 
         return run
 
+    parts = map_columns(found.select("text", "lang"), schema, start, 4096)
+    total = parts.select("lang", F.posexplode("part").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x")).collect()  # DIM rows for each language
     out: dict[str, np.ndarray] = {}
-    for r in map_columns(drawn.select("text", "lang"), schema, start).collect():  # at most a row for each drawn document
-        out[r["lang"]] = out.get(r["lang"], 0) + np.array(r["part"])
-    return {k: (v / np.linalg.norm(v)).astype(np.float32) for k, v in sorted(out.items())}
+    for r in total:
+        out.setdefault(r["lang"], np.zeros(DIM))[r["at"]] = r["x"]
+    return {k: (v / max(np.linalg.norm(v), 1e-9)).astype(np.float32) for k, v in sorted(out.items())}
 
 
 def judge(model: dict[str, np.ndarray]):
@@ -157,14 +160,14 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id
     return map_columns(columns_of(docs, id_col, text_col), schema, start)
 
 
-def least_score(docs: DataFrame, model: dict[str, np.ndarray], share: float = 0.001, per_lang: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
-    """Half of the cosine that all but this share of the learning documents with letters reach; texts
+def least_score(docs: DataFrame, model: dict[str, np.ndarray], share: float = 0.001, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """Half of the cosine that all but this share of all learning documents with letters reach; texts
     of a language that was not learned, and junk of letters, are below it."""
-    drawn = learning(docs, per_lang, id_col, text_col, lang_col) if model else None
-    if drawn is None:
+    found = learning(docs, id_col, text_col, lang_col) if model else None
+    if found is None:
         return 0.0
-    scores = [r["score"] for r in predict(drawn, model, "id", "text").where(F.col("lang_pred") != UNKNOWN).select("score").collect()]  # one for each drawn document
-    return float(np.quantile(scores, share)) / 2 if scores else 0.0
+    scores = predict(found, model, "id", "text").where(F.col("lang_pred") != UNKNOWN).select("score")
+    return quantile(scores, "score", share) / 2
 
 
 def keep_known(docs: DataFrame, model: dict[str, np.ndarray], languages: set[str] | None = None, min_score: float = 0.0, text_col: str = "text") -> DataFrame:

@@ -550,6 +550,20 @@ def test_language_on_held_out_rows(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows if r["lang"]]) > 0.97
 
 
+def test_language_learns_from_all_rows(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choices("abcdefgh" if i % 2 else "mnopqrst", k=rng.randint(1, 6))) for _ in range(rng.randint(1, 6))), "xy"[i % 2]) for i in range(7000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(7)
+    seen = [(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    model = language_id.fit(docs)
+    for lang, v in model.items():
+        total = np.sum([language_id.document_vector(t).astype(np.float64) for t, x in seen if x == lang], axis=0)
+        assert np.allclose(v, total / np.linalg.norm(total), atol=1e-6)
+    one = language_id.judge(model)
+    for share in (0.001, 0.3):
+        assert np.isclose(language_id.least_score(docs, model, share), np.quantile([one(t)[1] for t, _ in seen], share) / 2, rtol=1e-12)
+
+
 def test_exact_ranks(spark):
     rng = random.Random(5)
     values = [rng.choice([rng.gauss(0, 1), rng.randint(-3, 3), rng.gauss(0, 1e-9), 1e12]) for _ in range(5000)]
